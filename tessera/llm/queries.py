@@ -19,9 +19,47 @@ def op10_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
 
+def op4_warc_seekable_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+_BASE32 = "list_aggregate(list_transform(range(8), lambda g: list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * g::INT + 1, 5))::INT >> s) & 31), 1)), 'string_agg', '')), 'string_agg', '')"
+OP4_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to, true AS payload_ok FROM k
+"""
+
+#: verdict, host, path
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op6_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.url_rules import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "verdict string, host string, path string"))
+
+
+OP6_SQL = f"""
+WITH r(verdict, host, path) AS (VALUES {", ".join(map(str, URL_RULES))}),
+a AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+m AS (SELECT u.page_id, max_by(r.host || r.path, (length(r.host || r.path), length(r.host))) AS rule, max_by(r.verdict, (length(r.host || r.path), length(r.host))) AS verdict
+  FROM u JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY u.page_id)
+SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_bpe_prefix_dp": op10_bpe_prefix_dp}
+    return {
+        "op4_warc_seekable_bundles": op4_warc_seekable_bundles,
+        "op6_url_range_join": op6_url_range_join,
+        "op10_bpe_prefix_dp": op10_bpe_prefix_dp,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_seekable_bundles": OP4_SQL, "op6_url_range_join": OP6_SQL}
