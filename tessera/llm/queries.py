@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.parity_join import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 def op10_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -57,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_warc_seekable_bundles": op4_warc_seekable_bundles,
         "op6_url_range_join": op6_url_range_join,
+        "op7_parity_sketch_join": op7_parity_sketch_join,
         "op10_bpe_prefix_dp": op10_bpe_prefix_dp,
     }
 
