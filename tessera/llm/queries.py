@@ -43,6 +43,12 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id =
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def op5_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), window=13)
+
+
 def op6_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.url_rules import judge_urls
 
@@ -62,6 +68,7 @@ SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_warc_seekable_bundles": op4_warc_seekable_bundles,
+        "op5_fm_index_dedup": op5_fm_index_dedup,
         "op6_url_range_join": op6_url_range_join,
         "op7_parity_sketch_join": op7_parity_sketch_join,
         "op10_bpe_prefix_dp": op10_bpe_prefix_dp,
