@@ -25,6 +25,19 @@ def op10_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
 
+def op1_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.spotsigs import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_crf import fit, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_warc_seekable_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.warc import archive_round_trip
 
@@ -67,6 +80,8 @@ SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_spotsigs_fingerprints": op1_spotsigs_fingerprints,
+        "op3_line_crf_quality": op3_line_crf_quality,
         "op4_warc_seekable_bundles": op4_warc_seekable_bundles,
         "op5_fm_index_dedup": op5_fm_index_dedup,
         "op6_url_range_join": op6_url_range_join,
