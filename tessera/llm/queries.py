@@ -17,6 +17,37 @@ def op7_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+def op8_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.cross_polytope import nearest
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op9_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.tool_links import SCHEMAS, conversation_calls, link_calls
+
+    return link_calls(*conversation_calls(table(spark, sf_dir, "conversations")), SCHEMAS)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, 'call_' || conv_id || '_' || turn AS call_id, CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name, text, length(text) AS chars,
+    length(text) - length(replace(text, chr(10), '')) + 1 AS lines FROM conversations WHERE role IN ('user', 'system')),
+r AS (SELECT conv_id, turn AS r_turn, 'call_' || conv_id || '_' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'),
+v AS (SELECT conv_id, turn, 0 AS level FROM c UNION ALL SELECT c.conv_id, c.turn, v.level + 1 FROM v JOIN c ON c.conv_id = v.conv_id AND c.turn - v.turn IN (1, 2)),
+l AS (SELECT conv_id, turn, max(level) AS level FROM v GROUP BY ALL),
+j AS (SELECT conv_id, coalesce(c.turn, r_turn) AS turn, call_id, name, level::INT AS level, content, text, chars, lines, c.turn IS NOT NULL AS called,
+    CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r_turn IS NULL THEN 'unanswered' ELSE 'answered' END AS status
+  FROM c FULL JOIN r USING (conv_id, call_id) LEFT JOIN l ON l.conv_id = c.conv_id AND l.turn = c.turn),
+p AS (SELECT *, CASE WHEN NOT called THEN 'call:missing' ELSE concat_ws(',', CASE WHEN chars < 1 OR chars > CASE name WHEN 'reply' THEN 400 ELSE 4000 END THEN 'chars:range' END,
+    CASE WHEN name = 'reply' AND lines > 4 THEN 'lines:range' END, CASE WHEN chars < 1 THEN 'prompt:range' END) END AS problems FROM j)
+SELECT conv_id, turn, call_id, name, level, status, problems = '' AS valid, problems,
+  '{"arguments":' || CASE WHEN called THEN '{"chars":' || chars || CASE name WHEN 'reply' THEN ',"lines":' || lines ELSE '' END || ',"prompt":' || to_json(text)::VARCHAR || '}' ELSE 'null' END
+  || ',"id":"' || call_id || '","level":' || coalesce(level::VARCHAR, 'null') || ',"name":' || coalesce('"' || name || '"', 'null') || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null')
+  || ',"status":"' || status || '","turn":' || turn || '}' AS json FROM p
+"""
+
+
 def op10_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -31,6 +62,41 @@ def op1_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+#: Target shares of the mixing query and stage; source and topic take their actual shares to MIX_POWER.
+MIX_SHARES = {"lang": {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1}}
+MIX_POWER = 0.7
+
+
+def op2_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), MIX_SHARES, MIX_POWER)
+
+
+def _op2_sql(rounds: int = 40) -> str:
+    from tessera.llm.mixing import TOPIC_MARKS
+
+    topic = "CASE " + " ".join(f"WHEN contains(coalesce(text, ''), '{mark}') THEN '{name}'" for mark, name in TOPIC_MARKS) + " ELSE 'prose' END"
+    lang = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_SHARES["lang"].items()) + " ELSE 0.0 END"
+    steps = ["r0 AS (SELECT *, tokens::DOUBLE / sum(tokens) OVER () AS raked FROM t)"]
+    for k in range(3 * rounds):
+        d = ("source", "lang", "topic")[k % 3]
+        steps.append(f"r{k + 1} AS (SELECT * EXCLUDE (raked), raked * t_{d} / sum(raked) OVER (PARTITION BY {d}) AS raked FROM r{k})")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM documents),
+c AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
+s AS (SELECT source, pow(sum(tokens)::DOUBLE, {MIX_POWER}) AS x FROM c GROUP BY 1),
+o AS (SELECT topic, pow(sum(tokens)::DOUBLE, {MIX_POWER}) AS x FROM c GROUP BY 1),
+l AS (SELECT lang, ({lang})::DOUBLE AS x FROM c GROUP BY 1),
+t AS (SELECT c.*, s.x / (SELECT sum(x) FROM s) AS t_source, l.x / (SELECT sum(x) FROM l) AS t_lang, o.x / (SELECT sum(x) FROM o) AS t_topic FROM c JOIN s USING (source) JOIN l USING (lang) JOIN o USING (topic)),
+{", ".join(steps)},
+w AS (SELECT source, lang, topic, round(raked * sum(tokens) OVER () / tokens, 9) AS weight FROM r{3 * rounds})
+SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(least(weight, 1.0), 6) AS probability,
+  (floor(weight) + CASE WHEN ('0x' || substr(md5('1:' || doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < weight - floor(weight) THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM d JOIN w USING (source, lang, topic)
+"""
+
+
 def op3_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.line_crf import fit, score_documents
 
@@ -79,16 +145,12 @@ SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_spotsigs_fingerprints": op1_spotsigs_fingerprints,
-        "op3_line_crf_quality": op3_line_crf_quality,
-        "op4_warc_seekable_bundles": op4_warc_seekable_bundles,
-        "op5_fm_index_dedup": op5_fm_index_dedup,
-        "op6_url_range_join": op6_url_range_join,
-        "op7_parity_sketch_join": op7_parity_sketch_join,
-        "op10_bpe_prefix_dp": op10_bpe_prefix_dp,
-    }
+    found = [
+        op1_spotsigs_fingerprints, op2_ipf_mixing, op3_line_crf_quality, op4_warc_seekable_bundles, op5_fm_index_dedup,
+        op6_url_range_join, op7_parity_sketch_join, op8_cross_polytope_neighbours, op9_tool_call_links, op10_bpe_prefix_dp,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_seekable_bundles": OP4_SQL, "op6_url_range_join": OP6_SQL}
+    return {"op2_ipf_mixing": _op2_sql(), "op4_warc_seekable_bundles": OP4_SQL, "op6_url_range_join": OP6_SQL, "op9_tool_call_links": OP9_SQL}
