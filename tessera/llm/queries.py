@@ -149,7 +149,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_spotsigs_fingerprints, op2_ipf_mixing, op3_line_crf_quality, op4_warc_seekable_bundles, op5_fm_index_dedup,
         op6_url_range_join, op7_parity_sketch_join, op8_cross_polytope_neighbours, op9_tool_call_links, op10_bpe_prefix_dp,
     ]
-    return {f.__name__: f for f in found}
+    import corpus_pipeline
+
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,15 +50,49 @@ def minimizers(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]
     return wide.argmin(axis=1) + np.arange(len(wide)), g
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (with with_text also kept_text) for every row of docs (doc_id, text).
+def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 for every row of docs (doc_id, text).
 
     Words are the runs of characters other than space and U+0009 to U+000D. A word is removed if a window of that many
     consecutive words covers it whose word sequence also starts in a document with a smaller doc_id; repeats inside one
     document stay, and so does the first document's copy. Null and empty texts have no words. Rows with a null doc_id
-    are kept whole and never make others repeat; rows that share a doc_id aren't earlier than each other. kept_text keeps
-    the white space after the kept words; an untouched text stays as it is. Other columns are ignored.
+    are kept whole and never make others repeat; rows that share a doc_id aren't earlier than each other. Other columns
+    are ignored.
     """
+
+    def remove(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, text, starts in rows:
+            words = text.encode().split()
+            keep = _keep(len(words), starts, window)
+            kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k] if starts else words
+            yield doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
+
+    source = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("text_id", F.xxhash64("text"))
+    joined = source.join(repeated_windows(docs, window), ["doc_id", "text_id"], "left").select("doc_id", "text", "starts")
+    return map_rows(joined, remove, "doc_id long, n_words long, n_removed long, kept_sha256 string", chunk=64)
+
+
+def cleaned(docs: DataFrame, window: int = 13) -> DataFrame:
+    """docs, all columns and rows, with those words cut from the texts; n_chars, where there is one, follows the text.
+
+    The white space after kept words stays; an untouched text stays as it is (null stays null).
+    """
+
+    def cut(text: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else _without(t.encode(), s, window).decode() for t, s in zip(text, starts, strict=True)], dtype=object)
+
+    id_, mark = F.col("doc_id").cast("long"), F.xxhash64(text_or_empty())
+    hits = repeated_windows(docs, window).select(F.col("doc_id").alias("hit_id"), F.col("text_id").alias("hit_text"), "starts")
+    joined = docs.join(hits, (id_ == F.col("hit_id")) & (mark == F.col("hit_text")), "left")
+    text = F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.pandas_udf(cut, "string")(F.when(F.col("starts").isNotNull(), F.col("text")), "starts"))
+    out = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("starts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
+
+
+def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
+    """doc_id, text_id (xxhash64 of the text), starts: the first words of the windows that an earlier document holds."""
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("text_id", F.xxhash64("text"))
     named = texts.where("doc_id is not null")
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())])
@@ -129,23 +164,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
     hits = written(hits.groupBy("doc_id", "text_id").agg(F.flatten(F.collect_list("starts")).alias("starts")), "removed")
     dropped(found)
 
-    def remove(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, text, starts in rows:
-            raw = text.encode()
-            words = raw.split()
-            gone = np.zeros(len(words) + 1, np.int32)
-            if starts:
-                at = np.unique(np.array(starts))
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + window, -1)
-            keep = np.cumsum(gone[:-1]) == 0
-            n_removed = int(len(words) - keep.sum())
-            kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k] if n_removed else words
-            row = (doc_id, len(words), n_removed, hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield (*row, _without(raw, keep).decode() if n_removed else text) if with_text else row
-
-    joined = texts.join(hits, ["doc_id", "text_id"], "left").select("doc_id", "text", "starts")
-    return map_rows(joined, remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text, chunk=64)
+    return hits
 
 
 def earliest(block: list[tuple], window: int) -> Iterator[tuple]:
@@ -165,8 +184,17 @@ def earliest(block: list[tuple], window: int) -> Iterator[tuple]:
             yield digest, holders.tolist()
 
 
-def _without(raw: bytes, keep: np.ndarray) -> bytes:
+def _keep(n_words: int, starts: list[int] | None, window: int) -> np.ndarray:
+    gone = np.zeros(n_words + 1, np.int32)
+    if starts is not None and len(starts):
+        at = np.unique(np.asarray(starts))
+        gone[at] += 1
+        np.add.at(gone, at + window, -1)
+    return np.cumsum(gone[:-1]) == 0
+
+
+def _without(raw: bytes, starts: list[int], window: int) -> bytes:
     spans = [m.span() for m in _WORD.finditer(raw)]
     ends = [a for a, _ in spans[1:]] + [len(raw)]
-    head = raw[: spans[0][0]] if spans else raw
-    return head + b"".join([raw[a:b] for (a, _), b, k in zip(spans, ends, keep.tolist(), strict=True) if k])
+    keep = _keep(len(spans), starts, window).tolist()
+    return raw[: spans[0][0]] + b"".join([raw[a:b] for (a, _), b, k in zip(spans, ends, keep, strict=True) if k])
