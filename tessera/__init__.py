@@ -1,0 +1 @@
+"""A PySpark-native analytics engine with language-model operators over ordinary Spark SQL."""
