@@ -29,6 +29,8 @@ from tessera.llm.common import map_rows, text_or_empty
 
 CACHE_WORDS = 300_000
 _END = "\n"  # the end-of-word mark inside the automaton; byte-level symbols never hold it
+#: Fixed value: the tokenizer's pattern for pre-tokens.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters with the Unicode property White_Space, as the tokenizer's patterns see them.
 _SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -67,8 +69,7 @@ class WordBpe:
         self.special = special
         self.names |= {i: t for t, i in special.items()}
         self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        # Fixed value: the tokenizer's pattern for pre-tokens.
-        self._words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+").findall
+        self._words = regex.compile(PATTERN.replace("\\s", _SPACE)).findall
         self._chunks = regex.compile(rf"[^{_SPACE}]+").findall
         self._separators = re.compile("[\x1c-\x1f]").search  # str.split() takes them for white space, the tokenizer doesn't
         self._cache, self._word_cache = _Chunks(self), {}
@@ -176,13 +177,21 @@ class WordBpe:
         known, ids = self._word_cache, []
         if len(known) > CACHE_WORDS:
             known.clear()
-        for word in self._words(chunk):
+        newer = not chunk.isascii() and any(unicodedata.category(c) == "Cn" for c in chunk)
+        for word in self._newer_words(chunk) if newer else self._words(chunk):
             found = known.get(word)
             if found is None:
                 found = known[word] = self.encode_word(word)
             ids += found
         return " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
 
+    def _newer_words(self, chunk: str) -> list[str]:
+        """Pre-tokens of a chunk with characters that this Python's Unicode tables lack: by the tables of the tokenizers library."""
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        chunk = normalizers.Lowercase().normalize_str(chunk)
+        return [w for w, _ in pre_tokenizers.Split(Regex(PATTERN), "removed", invert=True).pre_tokenize_str(chunk)]
+
     def encode_text(self, text: str) -> tuple[str, str]:
         """Decimal ids joined by one space; the decoded text: token texts joined by one space, as with no decoder."""
         if len(self._cache) > CACHE_WORDS:
