@@ -22,7 +22,7 @@ def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
 def sampled(df: DataFrame, n: int, seed: int | None = None, where: str | None = None) -> DataFrame:
     """n rows after the filter: at random, or with a seed those of the smallest row hashes, which is repeatable."""
     df = df.where(where) if where else df
-    return df.orderBy(F.rand() if seed is None else F.xxhash64(F.lit(seed), F.to_json(F.struct("*")))).limit(n)
+    return df.orderBy(F.rand() if seed is None else F.xxhash64(F.lit(seed), F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))).limit(n)
 
 
 def union_sources(named: dict[str, DataFrame], column: str | None = None) -> DataFrame:

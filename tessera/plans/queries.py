@@ -265,7 +265,7 @@ _both("agg_grouping_sets", "SELECT c_nationkey, c_mktsegment, count(*) AS n, rou
 _both("agg_filter_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, count(*) FILTER (WHERE o_totalprice > 100000) AS large FROM orders GROUP BY o_orderstatus")
 _both("agg_array", "SELECT o_custkey, array_agg(o_orderkey ORDER BY o_orderkey) AS orders FROM orders GROUP BY o_custkey", "SELECT o_custkey, array_sort(array_agg(o_orderkey)) AS orders FROM orders GROUP BY o_custkey")
 _both("window_rank", "SELECT o_custkey, o_orderkey, CAST(rank() OVER w AS BIGINT) AS r, CAST(dense_rank() OVER w AS BIGINT) AS d, lag(o_orderkey) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)")
-_both("window_frame", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near, first_value(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS first_part FROM lineitem")
+_both("window_frame", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near, first_value(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS first_part FROM lineitem")
 _both("set_union", "SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer")
 _both("set_intersect", "SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer")
 _both("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
@@ -296,5 +296,5 @@ def upsert_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, sum(gap) AS sessions FROM (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS gap FROM events) GROUP BY user_id")
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    apart = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))
+    apart = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag(F.col("ts").cast("timestamp")).over(w))
     return table(spark, sf_dir, "events").withColumn("gap", F.when(apart <= 30 * 60 * 10**6, 0).otherwise(1)).groupBy("user_id").agg(F.sum("gap").alias("sessions"))
