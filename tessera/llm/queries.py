@@ -14,7 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op7_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.parity_join import similar_documents
 
-    return similar_documents(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+    return similar_documents(table(spark, sf_dir, "documents"), shingle=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(words) - 3, 1) + 1), lambda i: array_to_string(words[i:i + 3], ' '))) AS w FROM d WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS seen FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+"""
 
 
 def op8_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +140,17 @@ def op5_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=13)
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - 11), lambda i: {'i': i, 'w': array_to_string(words[i:i + 12], ' ')}), recursive := true) FROM d WHERE len(words) >= 13),
+f AS (SELECT w, min(doc_id) AS first FROM g GROUP BY w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM g JOIN f USING (w) WHERE first < doc_id),
+t AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM d),
+k AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY j) AS kept FROM t ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, len(words)::BIGINT - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op6_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.url_rules import judge_urls
 
@@ -155,4 +178,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ipf_mixing": _op2_sql(), "op4_warc_seekable_bundles": OP4_SQL, "op6_url_range_join": OP6_SQL, "op9_tool_call_links": OP9_SQL}
+    return {
+        "op2_ipf_mixing": _op2_sql(),
+        "op4_warc_seekable_bundles": OP4_SQL,
+        "op5_fm_index_dedup": OP5_SQL,
+        "op6_url_range_join": OP6_SQL,
+        "op7_parity_sketch_join": OP7_SQL,
+        "op9_tool_call_links": OP9_SQL,
+    }

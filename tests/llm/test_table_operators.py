@@ -25,7 +25,7 @@ def _plain(value):
     return float(f"{value:.9g}") if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) & {"op2_ipf_mixing", "op4_warc_seekable_bundles", "op6_url_range_join", "op9_tool_call_links"}))
+@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) & {"op2_ipf_mixing", "op4_warc_seekable_bundles", "op5_fm_index_dedup", "op6_url_range_join", "op7_parity_sketch_join", "op9_tool_call_links"}))
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "conversations", "labels"):
