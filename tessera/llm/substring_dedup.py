@@ -3,8 +3,8 @@
 (1) Each window of `window` words is named by its minimizer, the least hash among the runs of GRAM words inside it; a
 window that repeats has the same minimizer everywhere. One pass emits (minimizer, document), about one row for five
 words, and only minimizers of at least two documents go on. (2) Neighbouring windows under one such minimizer make a
-segment of at most 2 * window - GRAM words, routed to a shard by the minimizer; equal segments are folded into one with
-its smallest doc_id before they travel. Minimizers of more than HOT occurrences (a passage of a third of all documents)
+segment of at most 2 * window - GRAM words, routed to a shard by the minimizer; of equal
+segments a task sends those that tell the smallest doc_id and whether there is another. Minimizers of more than HOT occurrences (a passage of a third of all documents)
 are routed by whole windows instead, which fold completely. So what meets by one route is bounded, whatever the skew.
 (3) A task takes shards block by block, builds a compressed FM-index over the block's segments and streams the
 segments through it by backward search; the suffix interval of a window gives the smallest document that holds it. (4)
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,19 +36,33 @@ BLOCK_WORDS = 1 << 17
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def minimizers(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of the text its minimizer's position, and the hash of the GRAM words at every position."""
+def minimizers(words: list[bytes], window: int) -> np.ndarray:
+    """For every window of the text its minimizer: the least hash of the GRAM-word runs inside it."""
     gram = min(GRAM, window)
     if len(words) < window:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64)
     h = np.array(list(map(xxh3_64_intdigest, words)), dtype=np.uint64)
     n = len(h) - gram + 1
     g = np.full(n, gram, np.uint64)
     for k in range(gram):
         g = mix(g + h[k : k + n]) * np.uint64(2 * k + 3)
-    g = mix(g)
-    wide = np.lib.stride_tricks.sliding_window_view(g, window - gram + 1)
-    return wide.argmin(axis=1) + np.arange(len(wide)), g
+    g, covered = mix(g), 1
+    while covered < window - gram + 1:
+        step = min(covered, window - gram + 1 - covered)
+        g = np.minimum(g[:-step], g[step:])
+        covered += step
+    return g.view(np.int64)
+
+
+def runs(names: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the runs of equal names, cut into parts of at most longest."""
+    if not len(names):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+    length = np.diff(np.append(first, len(names)))
+    parts = -(-length // longest)
+    part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.repeat(first, parts) + longest * part, np.minimum(longest, np.repeat(length, parts) - longest * part)
 
 
 def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -81,14 +96,15 @@ def cleaned(docs: DataFrame, window: int = 13) -> DataFrame:
     def cut(text: pd.Series, starts: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else _without(t.encode(), s, window).decode() for t, s in zip(text, starts, strict=True)], dtype=object)
 
-    id_, mark = F.col("doc_id").cast("long"), F.xxhash64(text_or_empty())
-    hits = repeated_windows(docs, window).select(F.col("doc_id").alias("hit_id"), F.col("text_id").alias("hit_text"), "starts")
-    joined = docs.join(hits, (id_ == F.col("hit_id")) & (mark == F.col("hit_text")), "left")
-    text = F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.pandas_udf(cut, "string")(F.when(F.col("starts").isNotNull(), F.col("text")), "starts"))
-    out = joined.withColumn("text", text)
+    mark = f"_touched_{uuid.uuid4().hex}"  # no column of docs has that name
+    hits = repeated_windows(docs, window)
+    same = (docs["doc_id"].cast("long") == hits["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hits["text_id"])
+    touched = hits["starts"].isNotNull()
+    text = F.when(touched, F.pandas_udf(cut, "string")(F.when(touched, docs["text"]), hits["starts"])).otherwise(docs["text"])
+    out = docs.join(hits, same, "left").select(*(text.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns), touched.alias(mark))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("starts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(mark), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(mark)
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
@@ -96,6 +112,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("text_id", F.xxhash64("text"))
     named = texts.where("doc_id is not null")
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())])
+    longest = window - min(GRAM, window) + 1
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -104,10 +121,10 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    places, g = minimizers(text.encode().split(), window)
-                    if len(places):
-                        key, count = np.unique(g[np.unique(places)], return_counts=True)
-                        held.append((key.view(np.int64), np.full(len(key), doc_id, np.int64), count.astype(np.int32)))
+                    names = minimizers(text.encode().split(), window)
+                    if len(names):
+                        key, count = np.unique(names[runs(names, longest)[0]], return_counts=True)
+                        held.append((key, np.full(len(key), doc_id, np.int64), count.astype(np.int32)))
                         filled += len(key)
                     if filled >= 1 << 16:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=schema)
@@ -122,41 +139,52 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     per_doc = repeated.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("hot"), F.col("key"))).alias("cool"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot"))
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
+        """A row per segment; of equal ones in a task the first carries the words, and few go on to a shard:
+        enough to know the smallest doc_id and whether there is another."""
+        seen: dict[bytes, tuple[int, int]] = {}  # smallest and largest doc_id sent so far
         for doc_id, text_id, text, cool, hot in rows:
             words = text.encode().split()
-            places, g = minimizers(words, window)
-            names = g.view(np.int64)[places]
+            names = minimizers(words, window)
+            starts, lengths = runs(names, longest)
+            found: list[tuple[int, int, bool]] = []
             for single, wanted in ((False, cool), (True, hot)):
-                starts = np.flatnonzero(np.isin(names, np.array(wanted, np.int64))) if wanted else []
-                k = 0
-                while k < len(starts):
-                    first = last = int(starts[k])
-                    k += 1
-                    while not single and k < len(starts) and starts[k] == last + 1 and places[starts[k]] == places[first]:
-                        last += 1
-                        k += 1
-                    segment = b" ".join(words[first : last + window])
-                    digest = xxh3_128_digest(segment)
-                    route = int.from_bytes(digest[:8], "little", signed=True) if single else int(names[first])
-                    yield route, digest, segment, doc_id, text_id, first
-
-    found = map_rows(named.join(per_doc, "doc_id").select("doc_id", "text_id", "text", "cool", "hot"), cut, "route long, digest binary, segment binary, doc_id long, text_id long, start int", chunk=64)
-    found = written(found, "segments")
+                if wanted:
+                    at = np.isin(names[starts], np.array(wanted, np.int64))
+                    for start, length in zip(starts[at].tolist(), lengths[at].tolist(), strict=True):
+                        found += [(start + k, 1, True) for k in range(length)] if single else [(start, length, False)]
+            if len(seen) > 500_000:
+                seen.clear()
+            for start, length, single in found:
+                segment = b" ".join(words[start : start + length + window - 1])
+                digest = xxh3_128_digest(segment)
+                least, most = seen.get(digest, (None, None))
+                sent = least is None or doc_id < least or least == most < doc_id
+                if sent:
+                    seen[digest] = (doc_id, doc_id) if least is None else (min(least, doc_id), max(most, doc_id))
+                route = int.from_bytes(digest[:8], "little", signed=True) if single else int(names[start])
+                yield route if sent else None, digest, segment if least is None else None, doc_id, text_id, start
+
+    segments = map_rows(named.join(per_doc, "doc_id").select("doc_id", "text_id", "text", "cool", "hot"), cut, "route long, digest binary, segment binary, doc_id long, text_id long, start int", chunk=64)
+    found = written(segments, "segments")
     dropped(repeated)
-    distinct = found.groupBy("route", "digest").agg(F.first("segment").alias("segment"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
     def index(rows: Iterator[tuple]) -> Iterator[tuple]:
-        block, size, at = [], 0, None
-        for route, digest, segment, first, last in rows:
+        block, size, at, last = [], 0, None, None
+        for route, digest, segment, doc_id in rows:
             if route != at and size >= BLOCK_WORDS:
                 yield from earliest(block, window)
                 block, size = [], 0
-            at = route
-            block.append((digest, segment.split(b" "), first, last))
-            size += len(block[-1][1]) + 1
+            if (route, digest) == (at, last):
+                entry = block[-1]
+                entry[1] = entry[1] if segment is None else segment.split(b" ")
+                entry[3] = max(entry[3], doc_id)
+                continue
+            at, last = route, digest
+            block.append([digest, segment.split(b" ") if segment is not None else None, doc_id, doc_id])
+            size += 2 * window - GRAM + 1
         yield from earliest(block, window)
 
-    shards = distinct.repartition("route").sortWithinPartitions("route").select("route", "digest", "segment", "first", "last")
+    shards = found.where("route is not null").select("route", "digest", "segment", "doc_id").repartition("route").sortWithinPartitions("route", "digest", "doc_id")
     holders = map_rows(shards, index, "digest binary, holders array<long>", chunk=256)
     hits = found.select("digest", "doc_id", "text_id", "start").join(holders, "digest")
     starts = F.filter(F.transform("holders", lambda h, j: F.when(h < F.col("doc_id"), F.col("start") + j)), lambda s: s.isNotNull())
