@@ -3,28 +3,23 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All stages but the last return the columns of documents; n_chars follows the text. Rows with null or
 empty texts pass the stages like others (quality scores them, they have no near duplicates and no passages, and encode
-to no tokens); a doc_id that several rows share is decided for all of them alike where a stage decides by doc_id.
+to no tokens); a doc_id that several rows share is decided for all of them alike where a stage decides by doc_id, and rows without one
+are kept there.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_documents
-from tessera.llm.common import table_path
+from tessera.llm.common import by_ids, table_path, written
 from tessera.llm.line_crf import fit, keep_accepted
-from tessera.llm.mixing import mix
+from tessera.llm.mixing import left_out
 from tessera.llm.parity_join import similar_documents
 from tessera.llm.queries import MIX_POWER, MIX_SHARES
 from tessera.llm.substring_dedup import cleaned
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids, null matching null."""
-    return docs.join(ids.select(F.col("doc_id").alias("kept_id")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier accepts, scored in place: the text isn't shuffled."""
     return keep_accepted(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -33,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group that links of five-word shingles at 0.8 or more connect."""
     found = similar_documents(docs, shingle=5, percent=80)
-    return _kept(docs, found.where("component_id is null or component_id = doc_id"))
+    return by_ids(docs, written(found.where("component_id <> doc_id").select("doc_id").distinct(), "duplicates"), "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +38,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of the documents whose expected tokens meet the target weights; a document stays at most once."""
-    return _kept(docs, mix(docs, MIX_SHARES, MIX_POWER).where("copies > 0"))
+    return by_ids(docs, left_out(docs, MIX_SHARES, MIX_POWER), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,20 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Ids that a table may have to be broadcast: at 16 to 24 bytes each, under 100 MB in an executor.
+BROADCAST_IDS = 4_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """df semi- or anti-joined on doc_id with ids, a written table of one long column doc_id; rows with a null doc_id match nothing.
+
+    Up to BROADCAST_IDS ids are broadcast, so that df, which may hold whole texts, isn't shuffled; beyond that both
+    sides are shuffled.
+    """
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, df["doc_id"].cast("long") == ids["doc_id"], how)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

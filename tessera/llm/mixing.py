@@ -78,6 +78,22 @@ def uniform(seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
 
 
+def cell_weights(rows: DataFrame, shares: dict[str, dict[str, float]] | None, power: float, keep: float) -> DataFrame:
+    """The dimensions and weight of every cell of described rows."""
+    raked = rake(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), shares or {}, power)
+    total = F.sum("tokens").over(Window.partitionBy())
+    return raked.withColumn("weight", F.when(F.col("tokens") > 0, F.round(keep * F.col("raked") * total / F.col("tokens"), 9)).otherwise(0.0)).select(*DIMENSIONS, "weight")
+
+
+def _copies(seed: int) -> Column:
+    return (F.floor("weight") + (uniform(seed) < F.col("weight") - F.floor("weight")).cast("int")).cast("long")
+
+
+def left_out(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep: float = 1.0, seed: int = 1) -> DataFrame:
+    """doc_id of the documents that mix() gives no copy, as a table."""
+    return written(mix(docs, shares, power, keep, seed).where("copies = 0 and doc_id is not null").select("doc_id").distinct(), "left-out")
+
+
 def mix(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep: float = 1.0, seed: int = 1) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, copies for every row of docs.
 
@@ -86,10 +102,5 @@ def mix(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, powe
     tokens. Rows that share a doc_id decide alike. An existing topic column is used; other columns are ignored.
     """
     rows = described(docs)
-    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
-    raked = rake(cells, shares or {}, power)
-    total = F.sum("tokens").over(Window.partitionBy())
-    weights = raked.withColumn("weight", F.when(F.col("tokens") > 0, F.round(keep * F.col("raked") * total / F.col("tokens"), 9)).otherwise(0.0)).select(*DIMENSIONS, "weight")
-    rest = F.col("weight") - F.floor("weight")
-    found = rows.join(weights, list(DIMENSIONS)).withColumn("copies", (F.floor("weight") + (uniform(seed) < rest).cast("int")).cast("long"))
+    found = rows.join(cell_weights(rows, shares, power, keep), list(DIMENSIONS)).withColumn("copies", _copies(seed))
     return found.select("doc_id", *DIMENSIONS, "n_tokens", F.round("weight", 6).alias("weight"), F.round(F.least(F.col("weight"), F.lit(1.0)), 6).alias("probability"), "copies")

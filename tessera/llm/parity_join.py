@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from tessera.llm.common import dropped, map_rows, text_or_empty, written
+from tessera.llm.common import BROADCAST_IDS, by_ids, dropped, map_rows, text_or_empty, written
 from tessera.llm.components import components
 
 DENSE_WORDS = 8  # 64-bit words of the dense sketch
@@ -158,7 +158,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], schema=schema)
 
-    keyed = texts.where("doc_id is not null").mapInArrow(emit, "key long, doc_id long")
+    # Other copies of a set needn't emit; that they may, where there are too many to broadcast, costs rows only.
+    copies = written(member.where("doc_id <> rep").select("doc_id").join(reps.select("doc_id"), "doc_id", "left_anti").distinct(), "copies")
+    first_texts = by_ids(texts, copies, "left_anti") if copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else texts
+    keyed = first_texts.where("doc_id is not null").mapInArrow(emit, "key long, doc_id long")
     by_key = Window.partitionBy("key")
     shared = keyed.withColumn("least", F.min("doc_id").over(by_key)).withColumn("most", F.max("doc_id").over(by_key)).where("least < most").select("key", "doc_id")
     shared = written(shared, "shared-keys")
@@ -178,7 +181,11 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
     label = components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
     counts = all_links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     known = member.distinct().join(label, F.col("rep") == F.col("node"), "left").join(counts, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"), F.sum("n_links").alias("n_links"))
-    return about.select("doc_id", F.col("n").alias("n_shingles")).join(known, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = about.select("doc_id", F.col("n").alias("n_shingles")).join(known, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = written(out, "similar")
+    for old in (about, member, reps, copies, buckets, links, more):
+        dropped(old)
+    return out
 
 
 def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -190,13 +197,13 @@ def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
     """The pairs whose whole sets are similar enough; sets are made again for the documents that take part only."""
     pairs = written(pairs, name)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
 
     def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
             yield doc_id, shingle_set(text, shingle).tobytes()
 
-    found = written(map_rows(texts.join(wanted, "doc_id", "left_semi"), sets, "doc_id long, words binary", chunk=64), "pair-sets")
+    found = written(map_rows(by_ids(texts, wanted, "left_semi"), sets, "doc_id long, words binary", chunk=64), "pair-sets")
     x, y = found.select(F.col("doc_id").alias("a"), F.col("words").alias("x")), found.select(F.col("doc_id").alias("b"), F.col("words").alias("y"))
 
     def judge(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -206,4 +213,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, na
             if 100 * common >= percent * (len(one) + len(two) - common):
                 yield a, b
 
-    return written(map_rows(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), judge, "a long, b long", chunk=64).distinct(), name)
+    kept = written(map_rows(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), judge, "a long, b long", chunk=64).distinct(), name)
+    for old in (pairs, wanted, found):
+        dropped(old)
+    return kept
