@@ -34,10 +34,12 @@ def table_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives the loss of executors.
 
-    The shuffle files behind it are no longer needed then; a collection on the driver lets Spark delete them.
+    The shuffle files behind it are no longer needed then: once another job has run, a collection on the driver lets
+    Spark delete them.
     """
     path = table_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.range(1).count()
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
