@@ -1,7 +1,8 @@
 """Linking of tool calls with their results, in DataFrame functions only.
 
-Calls and results meet in a hash join on (conv_id, call_id). Calls get topological levels over their dependencies by
-peeling: calls whose dependencies are all placed come next, one join per level. Arguments are checked against the
+Calls and results meet in a hash join on (conv_id, call_id). Turns order a conversation's calls where every
+dependency lies in an earlier turn; where one doesn't, calls are peeled: those whose dependencies are all placed come
+next, one join per level. Arguments are checked against the
 tool's schema and serialised as canonical JSON: keys sorted, no blanks, nulls kept. One row per call or orphan result;
 (level, turn, call_id) is the order inside a conversation, so no conversation is ever collected.
 """
@@ -15,8 +16,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import dropped, written
 
-MAX_LEVELS = 1000
-
 
 @dataclass(frozen=True)
 class Field:
@@ -54,27 +53,33 @@ def _problems(parsed: Column, fields: list[Field]) -> Column:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level of calls (conv_id, call_id, after array<string>); calls on a cycle are left out.
+    """conv_id, call_id, level of calls (conv_id, call_id, turn, after array<string>): (level, turn, call_id) is a topological order.
 
-    Dependencies that are no calls of the conversation are passed over, as are repeated ones.
+    Where all dependencies of a conversation lie in earlier turns, turns are the levels, however long it is. Other
+    conversations are peeled: a call's level is the length of the longest chain before it, and calls on or behind a cycle
+    are left out. Dependencies that are no calls of the conversation are passed over, as are repeated ones.
     """
-    here = calls.select("conv_id", "call_id")
-    edges = calls.select("conv_id", "call_id", F.explode("after").alias("parent")).distinct()
-    edges = written(edges.join(here.withColumnRenamed("call_id", "parent"), ["conv_id", "parent"], "left_semi").select("conv_id", "call_id", "parent"), "waits")
-    front = written(here.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "level")
-    done = [front]
-    while len(done) <= MAX_LEVELS:
-        met = edges.join(front.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_semi").select("conv_id", "call_id").distinct()
-        left = written(edges.join(front.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_anti"), "waits")
-        front = written(met.join(left, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(len(done))), "level")
-        dropped(edges)
-        edges = left
-        if front.isEmpty():
-            break
-        done.append(front)
-    every = done[0]
-    for part in done[1:]:
-        every = every.unionByName(part)
+    here = calls.select("conv_id", "call_id", "turn")
+    edges = calls.select("conv_id", "call_id", "turn", F.explode("after").alias("parent")).distinct()
+    edges = edges.join(here.select("conv_id", F.col("call_id").alias("parent"), F.col("turn").alias("before")), ["conv_id", "parent"])
+    odd = written(edges.where(~F.coalesce(F.col("before") < F.col("turn"), F.lit(False))).select("conv_id").distinct(), "odd")
+    plain = here.join(odd, "conv_id", "left_anti").select("conv_id", "call_id", F.coalesce("turn", F.lit(0)).cast("long").alias("level"))
+    return plain if odd.isEmpty() else plain.unionByName(_peeled(here.join(odd, "conv_id", "left_semi"), edges.join(odd, "conv_id", "left_semi")))
+
+
+def _peeled(here: DataFrame, edges: DataFrame) -> DataFrame:
+    waits = written(edges.select("conv_id", "call_id", "parent"), "waits")
+    front = written(here.select("conv_id", "call_id").join(waits, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")), "level")
+    every = front
+    while not front.isEmpty():
+        met = waits.join(front.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_semi").select("conv_id", "call_id").distinct()
+        left = written(waits.join(front.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_anti"), "waits")
+        level = every.agg(F.max("level")).first()[0] + 1
+        front = written(met.join(left, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level).cast("long")), "level")
+        every, old = written(every.unionByName(front), "levels"), every
+        dropped(old)
+        dropped(waits)
+        waits = left
     return every
 
 
