@@ -3,8 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All stages but the last return the columns of documents; n_chars follows the text. Rows with null or
 empty texts pass the stages like others (quality scores them, they have no near duplicates and no passages, and encode
-to no tokens); a doc_id that several rows share is decided for all of them alike where a stage decides by doc_id, and rows without one
-are kept there.
+to no tokens). Where a stage decides by doc_id, rows that share one are decided alike and rows without one are kept.
 """
 
 from __future__ import annotations

@@ -2,8 +2,7 @@
 
 Calls and results meet in a hash join on (conv_id, call_id). Turns order a conversation's calls where every
 dependency lies in an earlier turn; where one doesn't, calls are peeled: those whose dependencies are all placed come
-next, one join per level. Arguments are checked against the
-tool's schema and serialised as canonical JSON: keys sorted, no blanks, nulls kept. One row per call or orphan result;
+next, one join per level. Arguments are checked against the tool's schema and serialised as canonical JSON: keys sorted, no blanks, nulls kept. One row per call or orphan result;
 (level, turn, call_id) is the order inside a conversation, so no conversation is ever collected.
 """
 
