@@ -8,7 +8,11 @@ and are reranked by exact inner products in double precision.
 Equal vectors are folded into one entry with its smallest vec_ids. Entries are dealt to shards of about SHARD_ROWS by a
 hash of the vector, so a crowded bucket is spread over all shards and a task holds one shard; every query meets every
 shard (a stated query set against all rows, in blocks), each shard returns its best, and the best of these are kept.
-Vectors of other lengths than one are reduced to unit vectors by one more coordinate (inner product search).
+
+Inner products favour long vectors, which hashing by direction doesn't see. So a shard splits its vectors by length into
+bands, within which the largest is at most BAND times the smallest, and hashes the directions of each band on its own;
+bands of fewer vectors than a table has buckets are compared whole. Probes grow with the padded width, and are doubled
+in a band until the shard's first SAMPLE queries find the share LEAST_RECALL of their true neighbours in it.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 
 SHARD_ROWS, QUERY_BLOCK, TABLES, PROBES, SALTS = 8192, 256, 8, 28, 16
+#: PROBES is the number for vectors padded to WIDTH or less; wider ones have it in proportion.
+WIDTH, BAND, SAMPLE, LEAST_RECALL = 64, 1.1, 64, 0.98
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -60,34 +66,82 @@ class CrossPolytope:
         return np.argsort(-both, axis=1, kind="stable")[:, :count]
 
 
-class Shard:
-    """The tables over one shard's vectors; prepared: unit vectors that hashing uses, vectors: the originals."""
+class Band:
+    """The tables over the rows of a shard whose lengths are alike; probes is None where every row is a candidate."""
 
-    def __init__(self, vectors: np.ndarray, prepared: np.ndarray, tables: int):
-        self.vectors, self.hashing = vectors.astype(np.float64), CrossPolytope(prepared.shape[1], tables)
-        self.members = []
-        for t in range(tables):
-            bucket = self.hashing.bucket(prepared, t)
+    def __init__(self, rows: np.ndarray, units: np.ndarray, hashing: CrossPolytope, probes: int):
+        self.rows, self.buckets, self.members = rows, 2 * hashing.width, []
+        self.probes = None if len(rows) <= self.buckets else min(probes, self.buckets)
+        for t in range(len(hashing.signs) if self.probes else 0):
+            bucket = hashing.bucket(units, t)
             order = np.argsort(bucket, kind="stable")
-            at = np.searchsorted(bucket[order], np.arange(2 * self.hashing.width + 1))
-            self.members.append([order[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
-
-    def search(self, queries: np.ndarray, prepared: np.ndarray, k: int, probes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query the rows of its k best candidates (and all that tie with the last) and their inner products.
-
-        A query whose probes give fewer than k candidates probes every bucket.
-        """
-        n = len(self.vectors)
-        scores = np.full((len(queries), n), -np.inf)
-        for t, members in enumerate(self.members):
-            want = self.hashing.probes(prepared, t, probes)
+            at = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+            self.members.append([rows[order[a:b]] for a, b in zip(at[:-1], at[1:], strict=True)])
+
+    def score(self, vectors: np.ndarray, queries: np.ndarray, wanted: list[np.ndarray], scores: np.ndarray) -> None:
+        """Fills in the scores of the candidates; wanted: all buckets of each table, nearest first."""
+        if self.probes is None:
+            scores[:, self.rows] = queries @ vectors[self.rows].T
+            return
+        for members, nearest_first in zip(self.members, wanted, strict=True):
+            want = nearest_first[:, : self.probes]
             order = np.argsort(want.ravel(), kind="stable")
             who, which = order // want.shape[1], want.ravel()[order]
             edges = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1], [True])))
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 rows = members[which[a]]
                 if len(rows):
-                    scores[np.ix_(who[a:b], rows)] = queries[who[a:b]] @ self.vectors[rows].T
+                    scores[np.ix_(who[a:b], rows)] = queries[who[a:b]] @ vectors[rows].T
+
+    def more(self) -> None:
+        self.probes = 2 * self.probes if 2 * self.probes < self.buckets else None
+
+
+class Shard:
+    """One shard's vectors, in bands of similar lengths."""
+
+    def __init__(self, vectors: np.ndarray, tables: int, probes: int):
+        self.vectors, self.tuned = vectors.astype(np.float64), False
+        self.hashing = CrossPolytope(vectors.shape[1], tables)
+        sizes = np.sqrt((self.vectors**2).sum(axis=1))
+        order = np.argsort(-sizes, kind="stable")
+        probes = max(probes, probes * self.hashing.width // WIDTH)
+        self.bands, at = [], 0
+        while at < len(order):
+            end = at + int(np.searchsorted(-sizes[order[at:]], -sizes[order[at]] / BAND, side="right"))
+            rows = order[at:end]
+            self.bands.append(Band(rows, self.vectors[rows] / sizes[rows, None], self.hashing, probes))
+            at = end
+
+    def _tune(self, queries: np.ndarray, wanted: list[np.ndarray], k: int) -> None:
+        """Doubles the probes of bands in which too few of the queries' true k nearest are candidates."""
+        true = np.zeros((len(queries), len(self.vectors)), bool)
+        exact = queries @ self.vectors.T
+        np.put_along_axis(true, np.argpartition(-exact, min(k, exact.shape[1]) - 1, axis=1)[:, :k], True, axis=1)
+        for band in self.bands:
+            due = true[:, band.rows].sum()
+            while band.probes is not None and due:
+                scores = np.full(exact.shape, -np.inf)
+                band.score(self.vectors, queries, wanted, scores)
+                if (true & (scores > -np.inf)).sum() >= LEAST_RECALL * due:
+                    break
+                band.more()
+
+    def search(self, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the rows of its k best candidates (and all that tie with the last) and their inner products.
+
+        A query whose probes give fewer than k candidates is compared with every row.
+        """
+        n = len(self.vectors)
+        units = queries / np.sqrt((queries**2).sum(axis=1, keepdims=True))
+        hashed = any(band.probes for band in self.bands)
+        wanted = [self.hashing.probes(units, t, 2 * self.hashing.width) for t in range(len(self.hashing.signs))] if hashed else []
+        if not self.tuned:
+            self._tune(queries[:SAMPLE], [w[:SAMPLE] for w in wanted], k)
+            self.tuned = True
+        scores = np.full((len(queries), n), -np.inf)
+        for band in self.bands:
+            band.score(self.vectors, queries, wanted, scores)
         for q, line in enumerate(scores):
             found = np.flatnonzero(line > -np.inf)
             if len(found) < min(k, n):
@@ -98,15 +152,6 @@ class Shard:
             yield found, (self.vectors[found] * queries[q]).sum(axis=1)
 
 
-def _prepared(x: np.ndarray, largest: float, is_query: bool, widened: bool) -> np.ndarray:
-    """Unit vectors: as they are if all lengths are one, else with one more coordinate that keeps the order of inner products."""
-    size = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
-    if not widened or is_query:
-        unit = x / size
-        return np.hstack((unit, np.zeros((len(x), 1)))) if widened else unit
-    return np.hstack((x / largest, np.sqrt(np.maximum(0.0, 1 - (size / largest) ** 2))))
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, probes: int = PROBES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for every row of queries its k nearest rows of vectors other than itself.
 
@@ -117,10 +162,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     """
     spark = vectors.sparkSession
     rows, wanted = _usable(vectors), _usable(queries)
-    seen = rows.agg(F.count("*"), F.min("size"), F.max("size")).first()
-    total, shortest, largest = seen[0], seen[1] or 1.0, seen[2] or 1.0
-    widened = largest > shortest * (1 + 1e-4)
-    shards = max(1, -(-total // shard_rows))
+    shards = max(1, -(-rows.count() // shard_rows))
     keep = k + 1
     salted = Window.partitionBy("embedding", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).orderBy("vec_id")
     least = rows.select("embedding", "vec_id").distinct().withColumn("place", F.row_number().over(salted)).where(F.col("place") <= keep)
@@ -140,7 +182,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
                 if mine:
                     q = np.array([v for _, v in mine], np.float64)
                     parts = [[], [], []]
-                    for (class_id, _), (found, score) in zip(mine, shard.search(q, _prepared(q, largest, True, widened), keep, probes), strict=True):
+                    for (class_id, _), (found, score) in zip(mine, shard.search(q, keep), strict=True):
                         lists = [ids[f] for f in found]
                         many = [len(x) for x in lists]
                         parts[0].append(np.full(sum(many), class_id))
@@ -158,7 +200,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
                     held.append((ids, np.array(vector)))
                     continue
                 if index is None:
-                    index = _shard_index(held, largest, widened, tables)
+                    index = _shard_index(held, tables, probes)
                     held = []
                 block.append((ids[0], vector))
                 if len(block) == QUERY_BLOCK:
@@ -166,7 +208,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
                     block = []
         yield from answers() if index else ()
 
-    dealt = entry.unionByName(everywhere).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "side")
+    dealt = entry.unionByName(everywhere).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "side", "ids")
     found = dealt.mapInArrow(search, "class_id long, vec_id long, score double")
     best = Window.partitionBy("class_id").orderBy(F.desc("score"), "vec_id")
     found = written(found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep).select("class_id", "vec_id", "score"), "nearest")
@@ -175,19 +217,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     return paired.select("query_id", F.row_number().over(by_query).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
-def _shard_index(held: list[tuple], largest: float, widened: bool, tables: int) -> dict:
+def _shard_index(held: list[tuple], tables: int, probes: int) -> dict:
     found = {}
     for size in {len(v) for _, v in held}:
         mine = [(i, v) for i, v in held if len(v) == size]
         x = np.array([v for _, v in mine])
-        found[size] = Shard(x, _prepared(x, largest, False, widened), tables), [np.array(i, np.int64) for i, _ in mine]
+        found[size] = Shard(x, tables, probes), [np.array(i, np.int64) for i, _ in mine]
     return found
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding (doubles) and size (length) of the rows that take part."""
+    """vec_id and embedding (doubles) of the rows that take part."""
     v = F.col("embedding")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(v.isNotNull() & (F.size(v) > 0) & F.col("vec_id").isNotNull())
-    return rows.where(finite).withColumn("size", size).where(F.col("size") > 0)
+    return rows.where(finite).where(size > 0)

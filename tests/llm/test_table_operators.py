@@ -149,6 +149,24 @@ def test_recall(spark):
     assert len(got & want) >= 0.95 * len(want) and len(got) == len(want)
 
 
+@pytest.mark.parametrize("kind", ["one long vector", "spread lengths"])
+def test_recall_of_other_lengths(spark, kind):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    if kind == "one long vector":
+        x[7] *= 5
+    else:
+        x *= np.exp(np.random.default_rng(0).normal(scale=0.3, size=(len(x), 1)))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in nearest(df, df.where("vec_id % 20 = 0")).collect()}
+    want = set()
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want |= {(int(ids[q]), int(ids[j])) for j in np.argsort(-s)[:20]}
+    assert len(got & want) >= 0.98 * len(want) and len(got) == len(want)
+
+
 def test_hadamard():
     x = np.random.default_rng(1).normal(size=(3, 8))
     np.testing.assert_allclose(hadamard(hadamard(x)), x)
