@@ -78,26 +78,32 @@ def uniform(seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
 
 
-def cell_weights(rows: DataFrame, shares: dict[str, dict[str, float]] | None, power: float, keep: float) -> DataFrame:
-    """The dimensions and weight of every cell of described rows."""
+def cell_weights(rows: DataFrame, shares: dict[str, dict[str, float]] | None, power: float, keep: float | None) -> DataFrame:
+    """The dimensions and weight of every cell of described rows; with keep None the largest weight is one."""
     raked = rake(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), shares or {}, power)
-    total = F.sum("tokens").over(Window.partitionBy())
-    return raked.withColumn("weight", F.when(F.col("tokens") > 0, F.round(keep * F.col("raked") * total / F.col("tokens"), 9)).otherwise(0.0)).select(*DIMENSIONS, "weight")
+    one = Window.partitionBy()
+    if keep is None:
+        weight = F.col("raked") / F.col("tokens")
+        weight = weight / F.max(F.when(F.col("tokens") > 0, weight)).over(one)
+    else:
+        weight = F.lit(keep) * F.col("raked") * F.sum("tokens").over(one) / F.col("tokens")
+    return raked.withColumn("weight", F.when(F.col("tokens") > 0, F.round(weight, 9)).otherwise(0.0)).select(*DIMENSIONS, "weight")
 
 
 def _copies(seed: int) -> Column:
     return (F.floor("weight") + (uniform(seed) < F.col("weight") - F.floor("weight")).cast("int")).cast("long")
 
 
-def left_out(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep: float = 1.0, seed: int = 1) -> DataFrame:
+def left_out(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep: float | None = 1.0, seed: int = 1) -> DataFrame:
     """doc_id of the documents that mix() gives no copy, as a table."""
     return written(mix(docs, shares, power, keep, seed).where("copies = 0 and doc_id is not null").select("doc_id").distinct(), "left-out")
 
 
-def mix(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep: float = 1.0, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep: float | None = 1.0, seed: int = 1) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, copies for every row of docs.
 
-    weight is the expected number of copies, probability that of being in the sample at all, copies the decision. Null
+    weight is the expected number of copies, probability that of being in the sample at all, copies the decision. With
+    keep None the sample is the largest in which no document is expected more than once. Null
     names count as '', null texts as empty. Texts without words have the weight of their cell, or 0 if the cell has no
     tokens. Rows that share a doc_id decide alike. An existing topic column is used; other columns are ignored.
     """

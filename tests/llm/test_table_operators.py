@@ -12,7 +12,7 @@ import corpus_pipeline
 from tessera.llm.common import table_path
 from tessera.llm.cross_polytope import hadamard, nearest
 from tessera.llm.mixing import described, mix, rake
-from tessera.llm.queries import URL_RULES
+from tessera.llm.queries import MIX_POWER, MIX_SHARES, URL_RULES
 from tessera.llm.tool_links import SCHEMAS, Field, conversation_calls, link_calls
 from tessera.llm.url_rules import judge_urls
 from tessera.llm.warc import archive_round_trip, parse, read_archives, record, write_archives
@@ -197,6 +197,30 @@ def test_mix_expectation_and_edges(spark):
     assert {r.topic for r in mix(docs.withColumn("topic", F.lit("given"))).collect()} == {"given"}
 
 
+def target_shares(tokens, shares, power):
+    """The target of each value of a dimension, from the tokens of each and the given shares."""
+    raw = {v: shares.get(v, 0.0) if shares else n**power for v, n in tokens.items()}
+    return {v: x / sum(raw.values()) for v, x in raw.items()}
+
+
+def test_stage_meets_the_target_shares(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = described(docs).collect()
+    left = {r.doc_id for r in corpus_pipeline.source_mix(spark, docs, SF).select("doc_id").collect()}
+    weights = mix(docs, MIX_SHARES, MIX_POWER, keep=None).collect()
+    assert max(r.weight for r in weights) == 1.0 and left == {r.doc_id for r in weights if r.copies}
+    for d in ("source", "lang", "topic"):
+        tokens, kept, expected = {}, {}, {}
+        for r in rows:
+            tokens[r[d]] = tokens.get(r[d], 0) + r.n_tokens
+            kept[r[d]] = kept.get(r[d], 0) + r.n_tokens * (r.doc_id in left)
+        for r in weights:
+            expected[r[d]] = expected.get(r[d], 0.0) + r.n_tokens * r.weight
+        want = target_shares(tokens, MIX_SHARES.get(d), MIX_POWER)
+        assert {v: x / sum(expected.values()) for v, x in expected.items()} == pytest.approx(want, abs=1e-5)
+        assert {v: x / sum(kept.values()) for v, x in kept.items()} == pytest.approx(want, abs=0.03)
+
+
 # Tool calls
 
 
