@@ -36,8 +36,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The largest sample of the documents whose expected tokens meet the target weights with each document at most once."""
-    return by_ids(docs, left_out(docs, MIX_SHARES, MIX_POWER, keep=None), "left_anti")
+    """The largest sample of the documents whose expected tokens meet the target weights with each document at most once.
+
+    Languages that MIX_SHARES lacks, null among them, keep their share as for source and topic.
+    """
+    return by_ids(docs, left_out(docs, MIX_SHARES, MIX_POWER, keep=None, others=True), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

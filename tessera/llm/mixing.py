@@ -10,6 +10,8 @@ are kept in as many partitions as their number asks for (CELL_ROWS each).
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,25 +38,34 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *named, topic.alias("topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"))
 
 
-def rake(cells: DataFrame, shares: dict[str, dict[str, float]], power: float) -> DataFrame:
+def rake(cells: DataFrame, shares: dict[str, dict[str, float]], power: float, others: bool = False) -> DataFrame:
     """cells (the dimensions, tokens) with raked, whose sums by each dimension are the target shares.
 
-    Targets: the given shares of a dimension, over the values that occur (values without one get none); for dimensions
-    that shares lacks, the actual shares to the given power. Both are made to sum to one.
+    Targets: the given shares of a dimension, over the values that occur; for dimensions that shares lacks, the actual
+    shares to the given power. Both are made to sum to one. Values without a given share get none, or with others what
+    they would have if none were given, and the given ones make up the rest. Warns where the targets can't be met.
     """
     one = Window.partitionBy()
     wide = cells
     for d in DIMENSIONS:
         by = Window.partitionBy(d)
         given = shares.get(d)
+        actual = F.pow(F.sum("tokens").over(by), F.lit(power))
         if given:
             raw = F.lit(0.0)
             for value, share in given.items():
                 raw = F.when(F.col(d) == value, F.lit(float(share))).otherwise(raw)
         else:
-            raw = F.pow(F.sum("tokens").over(by), F.lit(power))
+            raw = actual
         wide = wide.withColumn("raw", raw).withColumn("times", F.count("*").over(by))
-        wide = wide.withColumn(f"target_{d}", F.col("raw") / F.sum(F.col("raw") / F.col("times")).over(one)).drop("raw", "times")
+        target = F.col("raw") / F.sum(F.col("raw") / F.col("times")).over(one)
+        if given and others:
+            wide = wide.withColumn("own", actual).withColumn("own", F.col("own") / F.sum(F.col("own") / F.col("times")).over(one))
+            free = ~F.col(d).isin(list(given))
+            left = 1 - F.sum(F.when(free, F.col("own") / F.col("times")).otherwise(0.0)).over(one)
+            listed = F.try_divide(F.col("raw"), F.sum(F.col("raw") / F.col("times")).over(one))
+            target = F.when(free, F.col("own")).otherwise(F.coalesce(listed * left, F.lit(0.0)))
+        wide = wide.withColumn(f"target_{d}", target).drop("raw", "times", "own")
     now = written(wide.withColumn("raked", F.col("tokens") / F.sum("tokens").over(one)), "cells")
     parts = max(1, now.count() // CELL_ROWS)
     for _ in range(0, MAX_ROUNDS, ROUNDS_AT_ONCE):
@@ -70,6 +81,8 @@ def rake(cells: DataFrame, shares: dict[str, dict[str, float]], power: float) ->
         dropped(old)
         if worst is None or worst < TOLERANCE:
             break
+    else:
+        warnings.warn(f"raking ended {worst:.2g} off the target shares after {MAX_ROUNDS} rounds", stacklevel=2)
     return now.select(*DIMENSIONS, "tokens", "raked")
 
 
@@ -78,13 +91,13 @@ def uniform(seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
 
 
-def cell_weights(rows: DataFrame, shares: dict[str, dict[str, float]] | None, power: float, keep: float | None) -> DataFrame:
+def cell_weights(rows: DataFrame, shares: dict[str, dict[str, float]] | None, power: float, keep: float | None, others: bool = False) -> DataFrame:
     """The dimensions and weight of every cell of described rows; with keep None the largest weight is one."""
-    raked = rake(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), shares or {}, power)
+    raked = rake(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), shares or {}, power, others)
     one = Window.partitionBy()
     if keep is None:
         weight = F.col("raked") / F.col("tokens")
-        weight = weight / F.max(F.when(F.col("tokens") > 0, weight)).over(one)
+        weight = F.coalesce(F.try_divide(weight, F.max(F.when(F.col("tokens") > 0, weight)).over(one)), F.lit(0.0))
     else:
         weight = F.lit(keep) * F.col("raked") * F.sum("tokens").over(one) / F.col("tokens")
     return raked.withColumn("weight", F.when(F.col("tokens") > 0, F.round(weight, 9)).otherwise(0.0)).select(*DIMENSIONS, "weight")
@@ -94,19 +107,20 @@ def _copies(seed: int) -> Column:
     return (F.floor("weight") + (uniform(seed) < F.col("weight") - F.floor("weight")).cast("int")).cast("long")
 
 
-def left_out(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep: float | None = 1.0, seed: int = 1) -> DataFrame:
+def left_out(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep: float | None = 1.0, seed: int = 1, others: bool = False) -> DataFrame:
     """doc_id of the documents that mix() gives no copy, as a table."""
-    return written(mix(docs, shares, power, keep, seed).where("copies = 0 and doc_id is not null").select("doc_id").distinct(), "left-out")
+    return written(mix(docs, shares, power, keep, seed, others).where("copies = 0 and doc_id is not null").select("doc_id").distinct(), "left-out")
 
 
-def mix(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep: float | None = 1.0, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep: float | None = 1.0, seed: int = 1, others: bool = False) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, copies for every row of docs.
 
     weight is the expected number of copies, probability that of being in the sample at all, copies the decision. With
-    keep None the sample is the largest in which no document is expected more than once. Null
-    names count as '', null texts as empty. Texts without words have the weight of their cell, or 0 if the cell has no
-    tokens. Rows that share a doc_id decide alike. An existing topic column is used; other columns are ignored.
+    keep None the sample is the largest in which no document is expected more than once. Values without a given share
+    have weight 0, or with others the share that they would have if none were given. Null names count as '', null texts
+    as empty. Texts without words have the weight of their cell, or 0 if the cell has no tokens. Rows that share a doc_id
+    decide alike. An existing topic column is used; other columns are ignored.
     """
     rows = described(docs)
-    found = rows.join(cell_weights(rows, shares, power, keep), list(DIMENSIONS)).withColumn("copies", _copies(seed))
+    found = rows.join(cell_weights(rows, shares, power, keep, others), list(DIMENSIONS)).withColumn("copies", _copies(seed))
     return found.select("doc_id", *DIMENSIONS, "n_tokens", F.round("weight", 6).alias("weight"), F.round(F.least(F.col("weight"), F.lit(1.0)), 6).alias("probability"), "copies")

@@ -221,6 +221,26 @@ def test_stage_meets_the_target_shares(spark):
         assert {v: x / sum(kept.values()) for v, x in kept.items()} == pytest.approx(want, abs=0.03)
 
 
+def test_stage_keeps_languages_without_a_share(spark):
+    text = "seven words that make up a text"
+    rows = [(k, text, "en" if k < 400 else None if k < 700 else "xx", f"s{k % 2}", len(text)) for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r.lang for r in corpus_pipeline.source_mix(spark, docs, SF).collect()]
+    own = {v: n**MIX_POWER for v, n in {"en": 400, None: 300, "xx": 300}.items()}
+    for v, x in own.items():
+        assert kept.count(v) / len(kept) == pytest.approx(x / sum(own.values()), abs=0.04)
+    weights = mix(docs, MIX_SHARES, MIX_POWER, keep=None, others=True).select("lang", "weight").distinct().collect()
+    tokens = {r.lang: r.weight * {"en": 400, "": 300, "xx": 300}[r.lang] for r in weights}
+    assert {v: x / sum(tokens.values()) for v, x in tokens.items()} == pytest.approx({v or "": x / sum(own.values()) for v, x in own.items()}, abs=1e-5)
+    assert corpus_pipeline.source_mix(spark, docs.where("lang is null"), SF).count() == 300
+
+
+def test_raking_reports_targets_out_of_reach(spark):
+    cells = spark.createDataFrame([("a", "en", "t", 10), ("b", "de", "t", 10)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="off the target shares"):
+        rake(cells, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "de": 0.1}}, 0.7)
+
+
 # Tool calls
 
 
