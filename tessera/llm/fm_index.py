@@ -45,7 +45,7 @@ class FMIndex:
     def _sorted_suffixes(self) -> np.ndarray:
         _, rank = np.unique(self.sequence, return_inverse=True)
         width = 1
-        while width < self.depth:
+        while width < min(self.depth, self.n):  # no two suffixes agree on more symbols than there are
             after = np.zeros(self.n, np.int64)
             after[: self.n - width] = rank[width:] + 1
             _, rank = np.unique(rank * (self.n + 1) + after, return_inverse=True)
