@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +17,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, local mode (tests) takes one of
+    its own; on a cluster that is an error, as executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = own.get() if own.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -31,18 +35,28 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives the loss of executors.
+#: While a table is written: its shuffle files go when it is done, and batches sent to Python are bounded by their bytes.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
-    The shuffle files behind it are no longer needed then: once another job has run, a collection on the driver lets
-    Spark delete them.
-    """
-    path = table_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    df.sparkSession.range(1).count()
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives the loss of executors, frees the shuffle files behind it."""
+    spark, path = df.sparkSession, table_path(df.sparkSession, name)
+    with _settings(spark, _WRITING):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
@@ -98,6 +112,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]],
                 kept = []
         if kept:
             yield _batch(kept, out)
+        pa.default_memory_pool().release_unused()  # workers are reused: what one task took goes back
 
     return df.mapInArrow(run, schema)
 

@@ -8,12 +8,18 @@ into size bands; a pair belongs to the band of its larger set. In a band the ske
 document of the band stays under, so a similar pair also shares a piece that isn't empty; only the documents with more
 empty pieces than z join on those too, which keeps the join exact.
 
-Flow: (1) one pass gives each document its set's size, digest and a dense sketch; equal sets fall into one class. (2) a
-second pass emits (piece key, document), one key for about six shingles; a set that a task has already emitted is left
-out. (3) in each bucket every class is paired with the bucket's smallest one; pairs pass a Hamming filter on the dense
-sketches and are verified on whole sets. (4) verified links form components; only buckets that still hold several
-components are joined pair by pair, across components and through the same filter, and verified. No bucket is ever
-collected, and no pairs are made inside a group that is already one component; components are exact.
+The pieces are what documents are joined on: their XOR values, told apart by a 64-bit checksum. The dense sketch, 512
+bits to a document, is the one whose Hamming distance is measured, as a filter between that join and the verification.
+
+Flow: (1) one pass gives each document its set's size, digest and dense sketch; equal sets fold into a class, named by
+its smallest doc_id. (2) A second pass over the classes' texts writes (piece key, class), one key for about six
+shingles. Keys of several classes are found by a partial aggregation, and only these are joined back, so a key that a
+third of all documents share is a row per task in the one and is split by the adaptive skew join in the other. (3) In
+each bucket every class is paired with the bucket's smallest one; pairs pass the Hamming filter and are verified on whole
+sets, in the JVM. (4) Verified links form components; only buckets that still hold several components are joined pair by
+pair, across components and through the same filter, and verified. No bucket is ever collected, and no pairs are made
+inside a group that is already one component. Step (4) is quadratic in the number of components that share one piece,
+that is some six hashed shingles and no other in that slice: unlinked texts rarely do.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
@@ -111,12 +117,11 @@ def _may_link(percent: int) -> Column:
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
 
     Documents link when 100 * |A and B| >= percent * |A or B| over their sets of shingle-word shingles (A-Z
-    lower-cased). component_id is the smallest doc_id reachable by links; n_links counts the other verified set
-    classes that the document's class was found to link with. Empty and null texts have no shingles and link with
-    nothing. Rows that share a doc_id count as one document that has all their links. A null doc_id links with
+    lower-cased). component_id is the smallest doc_id reachable by links. Empty and null texts have no shingles and link
+    with nothing. Rows that share a doc_id count as one document that has all their links. A null doc_id links with
     nothing and has a null component. Other columns are ignored; an empty table gives an empty one.
     """
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
@@ -127,28 +132,27 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
             yield doc_id, len(found), xxh3_128_digest(found.tobytes()), dense_sketch(found)
 
     about = written(map_rows(texts, describe, "doc_id long, n long, set_id binary, sketch array<long>"), "sets")
-    linkable = about.where("doc_id is not null and n > 0")
-    first = linkable.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    member = written(linkable.select("doc_id", "set_id").join(first, "set_id").select("doc_id", "rep"), "members")
-    reps = about.join(first, (about.doc_id == first.rep) & (about.set_id == first.set_id), "left_semi").select("doc_id", "n", "sketch").dropDuplicates(["doc_id", "n", "sketch"])
-    reps = written(reps, "reps")
-
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64())])
+    repeated = about.where("doc_id is not null and n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")).where("rep < most").select("set_id", "rep")
+    repeated = written(repeated, "repeated-sets")
+    folded = about.join(_few(repeated), "set_id", "left").select("doc_id", "n", "sketch", F.coalesce("rep", "doc_id").alias("rep"))
+    folded = written(folded, "folded")
+    linkable = folded.where("doc_id is not null and n > 0")
+    reps = linkable.where("doc_id = rep").select("doc_id", "n", "sketch")
+    # A doc_id that stands for a class by one of its texts keeps them all.
+    copies = linkable.where("doc_id <> rep").select("doc_id").join(reps.select("doc_id"), "doc_id", "left_anti").distinct()
+    copies = written(copies, "copies")
+
+    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         keys, ids, held = [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     found = shingle_set(text, shingle)
-                    digest = xxh3_128_digest(found.tobytes())
-                    if not len(found) or digest in seen:
+                    if not len(found):
                         continue
-                    if len(seen) >= 1_000_000:
-                        seen.clear()  # a set emitted twice costs rows, never results
-                    seen.add(digest)
                     keys.append(piece_keys(found, percent).view(np.int64))
                     ids.append(np.full(len(keys[-1]), doc_id, np.int64))
                     held += len(keys[-1])
@@ -158,36 +162,41 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], schema=schema)
 
-    # Other copies of a set needn't emit; that they may, where there are too many to broadcast, costs rows only.
-    copies = written(member.where("doc_id <> rep").select("doc_id").join(reps.select("doc_id"), "doc_id", "left_anti").distinct(), "copies")
-    first_texts = by_ids(texts, copies, "left_anti") if copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else texts
-    keyed = first_texts.where("doc_id is not null").mapInArrow(emit, "key long, doc_id long")
-    by_key = Window.partitionBy("key")
-    shared = keyed.withColumn("least", F.min("doc_id").over(by_key)).withColumn("most", F.max("doc_id").over(by_key)).where("least < most").select("key", "doc_id")
-    shared = written(shared, "shared-keys")
-    classed = shared.join(member, "doc_id").select("key", "rep").distinct()
-    buckets = written(classed.withColumn("pivot", F.min("rep").over(by_key)).withColumn("most", F.max("rep").over(by_key)).where("pivot < most").select("key", "rep", "pivot"), "buckets")
+    first_texts = by_ids(texts.where("doc_id is not null"), copies, "left_anti")
+    keyed = written(first_texts.mapInArrow(emit, "key long, rep long"), "keys")
+    shared = written(keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("most")).where("pivot < most").select("key", "pivot"), "shared-keys")
+    buckets = written(keyed.join(shared, "key").distinct(), "buckets")
+    dropped(keyed)
     dropped(shared)
 
-    links = _verified(_filtered(buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), reps, percent), texts, shingle, percent, "links")
+    near = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    links = _verified(_filtered(near, reps, percent), texts, shingle, percent, "links")
     label = written(components(links), "labels")
 
-    grouped = buckets.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", "pivot", F.coalesce("component", "rep").alias("component"))
-    mixed = grouped.withColumn("least", F.min("component").over(by_key)).withColumn("most", F.max("component").over(by_key)).where("least < most and rep <> pivot").select("key", "rep", "component")
-    sided = mixed.join(reps, F.col("rep") == F.col("doc_id")).select("key", "rep", "component", "n", "sketch")
+    grouped = written(buckets.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "grouped")
+    dropped(buckets)
+    several = grouped.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+    sided = written(grouped.join(written(several, "several"), "key", "left_semi").join(reps, F.col("rep") == F.col("doc_id")).select("key", "rep", "component", "n", "sketch"), "sided")
     rest = sided.alias("x").join(sided.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _may_link(percent))
     more = _verified(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), texts, shingle, percent, "more-links")
-    all_links = links.union(more)
     label = components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
-    counts = all_links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    known = member.distinct().join(label, F.col("rep") == F.col("node"), "left").join(counts, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"), F.sum("n_links").alias("n_links"))
-    out = about.select("doc_id", F.col("n").alias("n_shingles")).join(known, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+    member = linkable.select("doc_id", "rep").distinct()
+    # A doc_id of several texts ties their classes together.
+    tied = components(written(member.where("doc_id <> rep").join(member.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(label.select("component", "node")), "ties"))
+    known = member.join(tied, F.col("rep") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    out = folded.select("doc_id", F.col("n").alias("n_shingles")).join(known, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = written(out, "similar")
-    for old in (about, member, reps, copies, buckets, links, more):
+    for old in (about, repeated, folded, copies, links, grouped, sided, more):
         dropped(old)
     return out
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A written table of digests, to be broadcast if its rows, some 100 bytes each, are few enough for that."""
+    return F.broadcast(table) if table.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4 else table
+
+
 def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     x, y = reps.alias("x"), reps.alias("y")
     both = pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id"))
@@ -195,25 +204,21 @@ def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
-    """The pairs whose whole sets are similar enough; sets are made again for the documents that take part only."""
+    """The pairs whose whole sets are similar enough; sets are made again for the documents that take part only.
+
+    Sets are compared where they meet, row by row in the JVM, so a task holds one pair of them.
+    """
     pairs = written(pairs, name)
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
 
     def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
-            yield doc_id, shingle_set(text, shingle).tobytes()
+            yield doc_id, shingle_set(text, shingle).view(np.int64)
 
-    found = written(map_rows(by_ids(texts, wanted, "left_semi"), sets, "doc_id long, words binary", chunk=64), "pair-sets")
+    found = written(map_rows(by_ids(texts, wanted, "left_semi"), sets, "doc_id long, words array<long>", chunk=64), "pair-sets")
     x, y = found.select(F.col("doc_id").alias("a"), F.col("words").alias("x")), found.select(F.col("doc_id").alias("b"), F.col("words").alias("y"))
-
-    def judge(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for a, b, one, two in rows:
-            one, two = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-            common = len(np.intersect1d(one, two, assume_unique=True))
-            if 100 * common >= percent * (len(one) + len(two) - common):
-                yield a, b
-
-    kept = written(map_rows(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), judge, "a long, b long", chunk=64).distinct(), name)
+    met = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("x").alias("n_x"), F.size("y").alias("n_y"), F.size(F.array_intersect("x", "y")).alias("common"))
+    kept = written(met.where(100 * F.col("common").cast("long") >= percent * (F.col("n_x") + F.col("n_y") - F.col("common")).cast("long")).select("a", "b").distinct(), name)
     for old in (pairs, wanted, found):
         dropped(old)
     return kept
