@@ -1,14 +1,17 @@
 """SpotSigs fingerprints: chains of content words that follow common-word anchors.
 
-A signature is an anchor with the next CHAIN content words after it. Anchors are common words of four languages and, so
-that texts of other languages and lists have some too, content words picked by their hash (one of HASHED). A text
-without any complete chain has one signature, of its whole word sequence; a text without words has none. A fingerprint
-is the sorted set of 32-bit signature hashes, in base64.
+A signature is an anchor with the next CHAIN content words after it, whatever common words stand between. Anchors are the
+common words of four languages. Where none of the BARE words before a place is a common word (lists, tables, other
+languages), content words picked by their hash, one of PICKED, are anchors too, so that such stretches count; what
+anchors a place depends on those words alone, so an edit elsewhere leaves it. A text without any complete chain has one
+signature, of its whole word sequence; a text without words has none. A fingerprint is the sorted set of 32-bit signature
+hashes, in base64.
 
 Documents meet their successor in descending doc_id by one range shuffle of whole texts: cells of ascending doc_id are
 cut at quantiles, each cell is sorted, and the first document of the cell below is added to each cell's end. A task
-holds a few texts at a time. Pairs of a whole corpus are found by folding equal fingerprints, partitioning by set
-length and joining on the rarest signatures only (`similar_pairs`).
+holds a few texts at a time. Two given sets are compared by plain Jaccard; the similar pairs of a whole corpus are found
+by folding equal fingerprints and joining on length partition and signature, rarest signatures only, before Jaccard is
+computed (`similar_pairs`).
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from xxhash import xxh3_64_intdigest
 from tessera.llm.common import map_rows, text_or_empty, written
 from tessera.llm.parity_join import mix
 
-CHAIN, DISTANCE, HASHED, CELLS = 2, 1, 4, 2000
+CHAIN, BARE, PICKED, CELLS = 2, 16, 4, 2000
 #: Common words of English, German, French and Spanish.
 COMMON = """
 the of and to in a is that it for on as with was be by are this from or an at which not
@@ -49,16 +52,20 @@ def signatures(text: str) -> np.ndarray:
     common = _MAYBE[(h & np.uint64(0xFFFF)).astype(np.int64)]
     maybe = np.flatnonzero(common)
     common[maybe] = np.isin(h[maybe], _ANCHORS)
-    anchors = np.flatnonzero(common | (h >> np.uint64(40)) % np.uint64(HASHED) == 0)
+    seen = np.concatenate(([0], np.cumsum(common)))
+    place = np.arange(len(h))
+    bare = seen[place + 1] == seen[np.maximum(place - BARE, 0)]
+    picked = (h >> np.uint64(40)) % np.uint64(PICKED) == 0
+    anchors = np.flatnonzero(common | (bare & picked))
     content = np.flatnonzero(~common)
     after = np.searchsorted(content, anchors, side="right")
-    whole = after + (CHAIN - 1) * DISTANCE < len(content)
+    whole = after + CHAIN <= len(content)
     anchors, after = anchors[whole], after[whole]
     if not len(anchors):
         return np.array([xxh3_64_intdigest(b" ".join(words)) >> 32], np.uint32)
     found = h[anchors]
     for k in range(CHAIN):
-        found = mix(found + np.uint64(k + 1)) * np.uint64(2 * k + 3) ^ h[content[after + k * DISTANCE]]
+        found = mix(found + np.uint64(k + 1)) * np.uint64(2 * k + 3) ^ h[content[after + k]]
     return np.unique((mix(found) >> np.uint64(32)).astype(np.uint32))
 
 
@@ -66,12 +73,10 @@ def fingerprint(found: np.ndarray) -> str:
     return base64.b64encode(found.astype("<u4").tobytes()).decode()
 
 
-def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard similarity; 0 without a look at the members if the lengths alone keep it under least. Two empty sets are alike."""
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets; two empty ones are alike."""
     if not len(a) and not len(b):
         return 1.0
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return 0.0
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common / (len(a) + len(b) - common)
 
@@ -132,9 +137,11 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 def similar_pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, likeness) of fingerprint classes that are at least that alike, and membership (doc_id, class_id).
 
-    Equal fingerprints form a class named by its smallest doc_id. Sets are partitioned by length so that a similar pair
-    shares a partition; inside one, classes meet on their rarest signatures only (as many as a similar pair can't miss)
-    and are verified by Jaccard over whole sets. Texts without signatures pair with nothing.
+    Equal fingerprints form a class named by its smallest doc_id. Sets are partitioned by length, each partition 1 / least
+    times as long as the one before, so a similar pair lies in one partition or in two neighbouring ones. Classes meet on
+    partition and signature, the smaller set's also in the partition above, and on their rarest signatures only (as many
+    as a similar pair can't miss); pairs of too different lengths are left out, the others verified by Jaccard over
+    whole sets. Texts without signatures pair with nothing; rows without a doc_id are left out.
     """
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -143,20 +150,24 @@ def similar_pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataF
 
     found = map_rows(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, "doc_id long, signs array<long>")
     found = written(found.withColumn("name", F.sha2(F.array_join(F.col("signs").cast("array<string>"), ","), 256)), "spots")
-    first = found.groupBy("name").agg(F.min("doc_id").alias("class_id"))
+    first = written(found.groupBy("name").agg(F.min("doc_id").alias("class_id")), "spot-classes")
     member = found.select("doc_id", "name").join(first, "name").select("doc_id", "class_id")
-    classes = found.join(first.select("class_id", "name"), "name").where("doc_id = class_id and size(signs) > 0").select("class_id", "signs").dropDuplicates(["class_id"])
+    classes = found.join(first, "name").where("doc_id = class_id and size(signs) > 0").select("class_id", "signs").dropDuplicates(["class_id"])
+    classes = written(classes, "spot-sets")
     spots = classes.select("class_id", F.size("signs").alias("n"), F.explode("signs").alias("sign"))
-    often = spots.groupBy("sign").agg(F.count("*").alias("often")).where("often > 1")
+    often = written(spots.groupBy("sign").agg(F.count("*").alias("often")).where("often > 1"), "spot-counts")
     rare = Window.partitionBy("class_id").orderBy("often", "sign")
     missed = F.col("n") - F.ceil(F.col("n") * least) + 1
     # Signatures of one class only can't be shared; they take the first places of the order.
-    alone = spots.join(often, "sign", "left_anti").groupBy("class_id").agg(F.count("*").alias("alone"))
-    prefix = spots.join(often, "sign").join(alone, "class_id", "left").withColumn("place", F.row_number().over(rare) + F.coalesce("alone", F.lit(0))).where(F.col("place") <= missed)
-    band = F.floor(F.log(F.col("n").cast("double")) / -np.log(least) + 1e-9) if least < 1 else F.col("n")
-    x = prefix.select("sign", F.col("class_id").alias("a"), F.col("n").alias("n_a"), band.alias("band_a"))
-    y = x.select("sign", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("band_a").alias("band_b"))
-    met = x.join(y, "sign").where((F.col("a") < F.col("b")) & (F.abs(F.col("band_a") - F.col("band_b")) <= 1) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))).select("a", "b").distinct()
+    shared = spots.join(often, "sign").withColumns({"place": F.row_number().over(rare), "shared": F.count("*").over(Window.partitionBy("class_id"))})
+    prefix = shared.where(F.col("place") + F.col("n") - F.col("shared") <= missed).select("sign", "class_id", "n")
+    part = (F.floor(F.log(F.col("n").cast("double")) / -np.log(least) + 1e-9) if least < 1 else F.col("n")).cast("long")
+    prefix = written(prefix.withColumn("part", part), "spot-prefixes")
+    x = prefix.select("sign", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("part").alias("own"), F.col("class_id").alias("x"), F.col("n").alias("n_x"))
+    y = prefix.select("sign", "part", F.col("class_id").alias("y"), F.col("n").alias("n_y"))
+    lengths = F.least("n_x", "n_y") >= least * F.greatest("n_x", "n_y")
+    met = x.join(y, ["part", "sign"]).where((F.col("x") != F.col("y")) & ((F.col("own") < F.col("part")) | (F.col("x") < F.col("y"))) & lengths)
+    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     sides = met.join(classes.select(F.col("class_id").alias("a"), F.col("signs").alias("s")), "a").join(classes.select(F.col("class_id").alias("b"), F.col("signs").alias("t")), "b")
     common = F.size(F.array_intersect("s", "t"))
     return sides.select("a", "b", (common / (F.size("s") + F.size("t") - common)).alias("likeness")).where(F.col("likeness") >= least), member

@@ -1,11 +1,15 @@
+import base64
 import hashlib
 import random
+import string
 import zlib
+from itertools import islice
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from xxhash import xxh3_64_intdigest
 
 from tessera.llm import substring_dedup
 from tessera.llm.bpe import encode_documents, model_of
@@ -13,7 +17,7 @@ from tessera.llm.components import components
 from tessera.llm.fm_index import FMIndex
 from tessera.llm.line_crf import _forward_backward, fit, keep_accepted, score_documents, train
 from tessera.llm.parity_join import piece_keys, shingle_set, similar_documents
-from tessera.llm.spotsigs import edited, fingerprint, fingerprint_documents, likeness, signatures, similar_pairs
+from tessera.llm.spotsigs import BARE, CHAIN, COMMON, PICKED, edited, fingerprint_documents, likeness, signatures, similar_pairs
 from tessera.llm.substring_dedup import cleaned, remove_repeats
 from tests.llm.fixtures import documents, pairs
 
@@ -183,44 +187,76 @@ def test_fm_index(texts, query, length):
 # Fingerprints
 
 
+def plain_signatures(text):
+    """Anchor chains word by word: (anchor, content words after it), or the whole sequence."""
+    words = [w for w in "".join(" " if c in string.punctuation else c for c in text.lower()).translate(dict.fromkeys(range(9, 14), " ")).split(" ") if w]
+    common = [w in COMMON for w in words]
+    found = set()
+    for i, w in enumerate(words):
+        bare = not any(common[max(0, i - BARE) : i + 1])
+        if common[i] or (bare and (xxh3_64_intdigest(w.encode()) >> 40) % PICKED == 0):
+            chain = list(islice((x for x, c in zip(islice(words, i + 1, None), islice(common, i + 1, None), strict=True) if not c), CHAIN))
+            if len(chain) == CHAIN:
+                found.add((w, *chain))
+    return found or ({tuple(words)} if words else set())
+
+
+def plain_likeness(a, b):
+    return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+
 def test_fingerprints(spark):
     docs = documents(spark).where("doc_id is null or doc_id <> 0").unionByName(documents(spark).where("doc_id = 0").limit(1))
+    docs = docs.unionByName(docs.where("doc_id in (5, 9)").selectExpr("doc_id + 500 AS doc_id", "regexp_replace(text, 'w(.)', 'der w$1')  AS text", *docs.columns[2:]))
     rows = sorted(pairs(docs), key=lambda r: (r[0] is None, -(r[0] or 0)))
-    want = []
-    for (d, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+    want, chains = {}, {d: frozenset(plain_signatures(t)) for d, t in rows}
+    for (d, t), (e, after) in zip(rows, rows[1:] + rows[:1], strict=True):
         changed = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
-        a, b, c = signatures(t), signatures(changed), signatures(after)
-        want.append((d, len(t), hashlib.sha256(changed.encode()).hexdigest(), fingerprint(a), fingerprint(b), likeness(a, b), likeness(a, c)))
+        a, b, c = chains[d], plain_signatures(changed), chains[e]
+        want[d] = len(t), hashlib.sha256(changed.encode()).hexdigest(), len(a), len(b), plain_likeness(a, b), plain_likeness(a, c)
     for parts in ("1", "4", "9"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        got = sorted(map(tuple, fingerprint_documents(docs).collect()), key=str)
+        got = fingerprint_documents(docs).collect()
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-        assert got == sorted(want, key=str)
+        size = {f: len(base64.b64decode(f)) // 4 for r in got for f in (r.fingerprint, r.edited_fingerprint)}
+        assert {r.doc_id: (r.n_chars, r.edited_sha256, size[r.fingerprint], size[r.edited_fingerprint], r.near_edited, r.near_next) for r in got} == want
+        # Equal fingerprints exactly where the chains are equal.
+        assert len({r.fingerprint for r in got}) == len(set(chains.values())) == len({(r.fingerprint, chains[r.doc_id]) for r in got})
     assert fingerprint_documents(docs.limit(0)).count() == 0
     assert fingerprint_documents(documents(spark)).count() == documents(spark).count()
     one = fingerprint_documents(docs.where("doc_id = 4")).first()
     assert one.near_next == 1.0
 
 
+@given(st.lists(st.sampled_from([*COMMON[:6], *"abcdefghijklmnop", "Der", "x-y", "."]), max_size=60))
+def test_signatures_against_plain_chains(words):
+    text = " ".join(words)
+    assert len(signatures(text)) == len(plain_signatures(text))
+
+
 def test_signatures():
     assert len(signatures("")) == len(signatures("?! ...")) == 0 and len(signatures("the of")) == 1
     assert (signatures("The Cat, sat of mats now!") == signatures("the cat sat of mats now")).all()
+    # Anchors are the common words: each of the, of, and, in leads a chain; the content words here lead none.
+    assert len(signatures("the quick brown fox of jumping dogs and lazy cats in winter nights")) == 4
+    assert plain_signatures("the quick brown fox of jumping dogs") == {("the", "quick", "brown"), ("of", "jumping", "dogs")}
     assert edited("abcdef", "xyz") == "abcdxy" and edited("abcdef", "x") == "abcdx" and edited("ab", "x") == "ab"
     a = np.arange(10, dtype=np.uint32)
-    assert likeness(a, a[:5]) == 0.5 and likeness(a, a[:5], 0.8) == 0.0 and likeness(a[:0], a[:0]) == 1.0
+    assert likeness(a, a[:5]) == 0.5 and likeness(a, a[:0]) == 0.0 and likeness(a[:0], a[:0]) == 1.0
 
 
-def test_similar_pairs(spark):
+@pytest.mark.parametrize("least", [0.3, 0.6, 1.0])
+def test_similar_pairs(spark, least):
     docs = documents(spark)
-    found, member = similar_pairs(docs, 0.6)
-    sets = {d: signatures(t) for d, t in pairs(docs) if d is not None}
+    found, member = similar_pairs(docs, least)
+    sets = {d: plain_signatures(t) for d, t in pairs(docs) if d is not None}
     classes = {}
     for d in sorted(sets):
-        classes.setdefault(sets[d].tobytes(), d)
+        classes.setdefault(frozenset(sets[d]), d)
     reps = sorted(classes.values())
-    want = {(a, b) for i, a in enumerate(reps) for b in reps[i + 1 :] if len(sets[a]) and len(sets[b]) and likeness(sets[a], sets[b]) >= 0.6}
-    assert {(r.a, r.b) for r in found.collect()} == want and want
-    assert {(r.doc_id, r.class_id) for r in member.collect()} == {(d, classes[s.tobytes()]) for d, s in sets.items()}
+    want = {(a, b) for i, a in enumerate(reps) for b in reps[i + 1 :] if sets[a] and sets[b] and plain_likeness(sets[a], sets[b]) >= least}
+    assert {(r.a, r.b) for r in found.collect()} == want and (want or least == 1)
+    assert {(r.doc_id, r.class_id) for r in member.collect()} == {(d, classes[frozenset(s)]) for d, s in sets.items()}
 
 
 # Quality
