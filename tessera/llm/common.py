@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -87,6 +88,15 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers are reused, and what one task took would stay with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, chunk: int = 256) -> DataFrame:
     """mapInArrow over tuples: rows gets an iterator over the partition's tuples and yields tuples in the order of schema.
 
@@ -112,7 +122,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]],
                 kept = []
         if kept:
             yield _batch(kept, out)
-        pa.default_memory_pool().release_unused()  # workers are reused: what one task took goes back
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -12,14 +12,14 @@ The pieces are what documents are joined on: their XOR values, told apart by a 6
 bits to a document, is the one whose Hamming distance is measured, as a filter between that join and the verification.
 
 Flow: (1) one pass gives each document its set's size, digest and dense sketch; equal sets fold into a class, named by
-its smallest doc_id. (2) A second pass over the classes' texts writes (piece key, class), one key for about six
-shingles. Keys of several classes are found by a partial aggregation, and only these are joined back, so a key that a
-third of all documents share is a row per task in the one and is split by the adaptive skew join in the other. (3) In
-each bucket every class is paired with the bucket's smallest one; pairs pass the Hamming filter and are verified on whole
-sets, in the JVM. (4) Verified links form components; only buckets that still hold several components are joined pair by
+its smallest doc_id. (2) A second pass over the classes' texts emits (piece key, class), one key for about four
+shingles. Of the classes of one block (BLOCK_KEYS keys of a task) that share a key only the smallest, the key's head
+there, meets those of other blocks; so a key that a third of all documents share costs a row per block. (3) Every class
+is paired with its head, and every head with the key's smallest; pairs pass the Hamming filter and are verified on whole
+sets, in the JVM. (4) Verified links form components; only keys that still hold several components are joined pair by
 pair, across components and through the same filter, and verified. No bucket is ever collected, and no pairs are made
 inside a group that is already one component. Step (4) is quadratic in the number of components that share one piece,
-that is some six hashed shingles and no other in that slice: unlinked texts rarely do.
+that is some hashed shingles and no other in that slice: unlinked texts rarely do.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
@@ -38,7 +38,8 @@ from tessera.llm.common import BROADCAST_IDS, by_ids, dropped, map_rows, text_or
 from tessera.llm.components import components
 
 DENSE_WORDS = 8  # 64-bit words of the dense sketch
-BAND_RATIO = 1.3
+BAND_RATIO = 1.5
+BLOCK_KEYS = 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -142,7 +143,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
     copies = linkable.where("doc_id <> rep").select("doc_id").join(reps.select("doc_id"), "doc_id", "left_anti").distinct()
     copies = written(copies, "copies")
 
-    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("head", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, held = [], [], 0
@@ -156,18 +157,32 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
                     keys.append(piece_keys(found, percent).view(np.int64))
                     ids.append(np.full(len(keys[-1]), doc_id, np.int64))
                     held += len(keys[-1])
-                    if held >= 1 << 16:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], schema=schema)
+                    if held >= BLOCK_KEYS:
+                        yield from headed(np.concatenate(keys), np.concatenate(ids))
                         keys, ids, held = [], [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], schema=schema)
+            yield from headed(np.concatenate(keys), np.concatenate(ids))
+
+    def headed(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows (key, class, head): no head where the class alone has the key in this block, itself where it is the head."""
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        first = np.concatenate(([True], keys[1:] != keys[:-1]))
+        head = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
+        alone = first & np.concatenate((first[1:], [True]))
+        fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])))
+        columns = [pa.array(keys), pa.array(ids), pa.array(head, mask=alone)]
+        whole = pa.RecordBatch.from_arrays(columns, schema=schema).filter(pa.array(fresh))
+        for at in range(0, whole.num_rows, 1 << 16):
+            yield whole.slice(at, 1 << 16)
 
     first_texts = by_ids(texts.where("doc_id is not null"), copies, "left_anti")
-    keyed = written(first_texts.mapInArrow(emit, "key long, rep long"), "keys")
-    shared = written(keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("most")).where("pivot < most").select("key", "pivot"), "shared-keys")
-    buckets = written(keyed.join(shared, "key").distinct(), "buckets")
-    dropped(keyed)
-    dropped(shared)
+    keyed = first_texts.mapInArrow(emit, "key long, rep long, head long")
+    # Heads meet by key; the others lie apart, each by itself, so that no task gets all of a key.
+    led = F.when(F.col("head") != F.col("rep"), F.col("rep"))
+    by_key = Window.partitionBy("key", led)
+    shared = keyed.withColumns({"pivot": F.min("rep").over(by_key), "most": F.max("rep").over(by_key)}).where("head is not null or pivot < most")
+    buckets = written(shared.select("key", "rep", F.when(led.isNotNull(), F.col("head")).otherwise(F.col("pivot")).alias("pivot")), "buckets")
 
     near = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     links = _verified(_filtered(near, reps, percent), texts, shingle, percent, "links")
@@ -176,15 +191,18 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
     grouped = written(buckets.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "grouped")
     dropped(buckets)
     several = grouped.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-    sided = written(grouped.join(written(several, "several"), "key", "left_semi").join(reps, F.col("rep") == F.col("doc_id")).select("key", "rep", "component", "n", "sketch"), "sided")
+    sided = written(grouped.join(written(several, "several"), "key", "left_semi").distinct().join(reps, F.col("rep") == F.col("doc_id")).select("key", "rep", "component", "n", "sketch"), "sided")
     rest = sided.alias("x").join(sided.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _may_link(percent))
     more = _verified(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), texts, shingle, percent, "more-links")
-    label = components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
 
     member = linkable.select("doc_id", "rep").distinct()
     # A doc_id of several texts ties their classes together.
-    tied = components(written(member.where("doc_id <> rep").join(member.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(label.select("component", "node")), "ties"))
-    known = member.join(tied, F.col("rep") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    tied = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id")
+    tied = written(member.join(tied, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "ties")
+    again = written(more.union(tied), "more")
+    if not again.isEmpty():
+        label = written(components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).union(again)), "labels")
+    known = member.join(label, F.col("rep") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = folded.select("doc_id", F.col("n").alias("n_shingles")).join(known, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = written(out, "similar")
     for old in (about, repeated, folded, copies, links, grouped, sided, more):
@@ -209,6 +227,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, na
     Sets are compared where they meet, row by row in the JVM, so a task holds one pair of them.
     """
     pairs = written(pairs, name)
+    if pairs.isEmpty():
+        return pairs
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
 
     def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
