@@ -4,13 +4,15 @@ Token sums per cell are raked to target shares of source, language and topic in
 document's weight is the share of tokens to keep times its cell's raked over actual tokens; it appears floor(weight)
 times, and once more with the probability of the rest, decided by a hash of its doc_id, so the expected tokens of every
 source, language and topic meet their targets. DataFrame functions only: one aggregation over the documents (partial
-sums, so a source of a third of all rows is one row per task), window sums over the cells, one join back by cell. Cells
-are kept in as many partitions as their number asks for (CELL_ROWS each).
+sums, so a source of a third of all rows is one row per task), sums over the cells, one join back by cell. Up to CELL_ROWS
+cells are raked in one task, by windows; more are summed by partial aggregation and joined with their sums.
 """
 
 from __future__ import annotations
 
+import uuid
 import warnings
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import WORD, dropped, text_or_empty, written
 
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS_AT_ONCE, MAX_ROUNDS, TOLERANCE, CELL_ROWS = 4, 60, 1e-9, 100_000
+ROUNDS_AT_ONCE, MAX_ROUNDS, TOLERANCE, CELL_ROWS = 5, 60, 1e-9, 100_000
 #: Marks that tell a text's topic where documents have no such column, the first that occurs; else prose.
 TOPIC_MARKS = [(" | ", "table"), ("!!", "promotion"), ("$$$", "noise"), ("@", "contact"), ("icense", "legal")]
 
@@ -45,40 +47,21 @@ def rake(cells: DataFrame, shares: dict[str, dict[str, float]], power: float, ot
     shares to the given power. Both are made to sum to one. Values without a given share get none, or with others what
     they would have if none were given, and the given ones make up the rest. Warns where the targets can't be met.
     """
-    one = Window.partitionBy()
-    wide = cells
+    now = written(cells, "cells")
+    few = now.limit(CELL_ROWS + 1).count() <= CELL_ROWS
+    whole = now.agg(F.sum("tokens")).first()[0] or 0
+    wide = now.withColumn("raked", F.try_divide(F.col("tokens").cast("double"), F.lit(float(whole))))
     for d in DIMENSIONS:
-        by = Window.partitionBy(d)
-        given = shares.get(d)
-        actual = F.pow(F.sum("tokens").over(by), F.lit(power))
-        if given:
-            raw = F.lit(0.0)
-            for value, share in given.items():
-                raw = F.when(F.col(d) == value, F.lit(float(share))).otherwise(raw)
-        else:
-            raw = actual
-        wide = wide.withColumn("raw", raw).withColumn("times", F.count("*").over(by))
-        target = F.col("raw") / F.sum(F.col("raw") / F.col("times")).over(one)
-        if given and others:
-            wide = wide.withColumn("own", actual).withColumn("own", F.col("own") / F.sum(F.col("own") / F.col("times")).over(one))
-            free = ~F.col(d).isin(list(given))
-            left = 1 - F.sum(F.when(free, F.col("own") / F.col("times")).otherwise(0.0)).over(one)
-            listed = F.try_divide(F.col("raw"), F.sum(F.col("raw") / F.col("times")).over(one))
-            target = F.when(free, F.col("own")).otherwise(F.coalesce(listed * left, F.lit(0.0)))
-        wide = wide.withColumn(f"target_{d}", target).drop("raw", "times", "own")
-    now = written(wide.withColumn("raked", F.col("tokens") / F.sum("tokens").over(one)), "cells")
-    parts = max(1, now.count() // CELL_ROWS)
-    for _ in range(0, MAX_ROUNDS, ROUNDS_AT_ONCE):
-        step = now.coalesce(1) if parts == 1 else now.repartition(parts, "source")
-        for _ in range(ROUNDS_AT_ONCE):
-            for d in DIMENSIONS:
-                total = F.sum("raked").over(Window.partitionBy(d))
-                step = step.withColumn("raked", F.when(total > 0, F.col("raked") * F.col(f"target_{d}") / total).otherwise(0.0))
-        off = sum((F.abs(F.sum("raked").over(Window.partitionBy(d)) - F.col(f"target_{d}")) for d in DIMENSIONS[1:]), F.abs(F.sum("raked").over(Window.partitionBy("source")) - F.col("target_source")))
-        old, now = now, written(step.withColumn("off", off), "cells")
-        worst = now.agg(F.max("off")).first()[0]
-        now = now.drop("off")
+        wide = wide.join(_targets(now, d, shares.get(d), power, others), d)
+    old, now = now, written(wide, "cells")
+    dropped(old)
+    rounds = ROUNDS_AT_ONCE if few else 1
+    for _ in range(0, MAX_ROUNDS, rounds):
+        step = _windowed(now.coalesce(1), rounds) if few else _joined(now)
+        old, now = now, written(step, "cells")
         dropped(old)
+        off = [now.groupBy(d).agg(F.abs(F.sum("raked") - F.max(f"target_{d}")).alias("off")).select("off") for d in DIMENSIONS]
+        worst = reduce(DataFrame.union, off).agg(F.max("off")).first()[0]
         if worst is None or worst < TOLERANCE:
             break
     else:
@@ -86,41 +69,88 @@ def rake(cells: DataFrame, shares: dict[str, dict[str, float]], power: float, ot
     return now.select(*DIMENSIONS, "tokens", "raked")
 
 
+def _windowed(cells: DataFrame, rounds: int) -> DataFrame:
+    """cells after so many rounds, each dimension's sums by a window."""
+    kept = ", ".join((*DIMENSIONS, "tokens", *(f"target_{d}" for d in DIMENSIONS)))
+    text = "{cells}"
+    for _ in range(rounds):
+        for d in DIMENSIONS:
+            text = f"(SELECT {kept}, coalesce(try_divide(raked * target_{d}, sum(raked) OVER (PARTITION BY {d})), 0.0D) AS raked FROM {text})"
+    return cells.sparkSession.sql(f"SELECT * FROM {text}", cells=cells)
+
+
+def _joined(cells: DataFrame) -> DataFrame:
+    """cells after one round, each dimension's sums by partial aggregation."""
+    for d in DIMENSIONS:
+        cells = cells.join(cells.groupBy(d).agg(F.sum("raked").alias("sum")), d).withColumn("raked", F.coalesce(F.try_divide(F.col("raked") * F.col(f"target_{d}"), F.col("sum")), F.lit(0.0))).drop("sum")
+    return cells
+
+
+def _targets(cells: DataFrame, d: str, given: dict[str, float] | None, power: float, others: bool) -> DataFrame:
+    """The target share of every value of a dimension."""
+    values = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("own"))
+    if not given:
+        return _of_one(values, F.col("own")).select(d, F.col("share").alias(f"target_{d}"))
+    listed = F.lit(0.0)
+    for value, share in given.items():
+        listed = F.when(F.col(d) == value, F.lit(float(share))).otherwise(listed)
+    if not others:
+        return _of_one(values, listed).select(d, F.col("share").alias(f"target_{d}"))
+    free = ~F.col(d).isin(list(given))
+    own = _of_one(values, F.col("own")).withColumnRenamed("share", "actual")
+    left = own.agg(F.coalesce(1 - F.sum(F.when(free, F.col("actual"))), F.lit(1.0))).first()[0]
+    return _of_one(own, listed).select(d, F.when(free, F.col("actual")).otherwise(F.col("share") * left).alias(f"target_{d}"))
+
+
+def _of_one(values: DataFrame, column: Column) -> DataFrame:
+    """values with share, the column over its sum; 0 where that is 0."""
+    total = values.agg(F.sum(column)).first()[0] or 0.0
+    return values.withColumn("share", F.coalesce(F.try_divide(column, F.lit(float(total))), F.lit(0.0)))
+
+
 def uniform(seed: int) -> Column:
     """A number in [0, 1) from the doc_id."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
 
 
-def cell_weights(rows: DataFrame, shares: dict[str, dict[str, float]] | None, power: float, keep: float | None, others: bool = False) -> DataFrame:
-    """The dimensions and weight of every cell of described rows; with keep None the largest weight is one."""
+def cell_weights(rows: DataFrame, shares: dict[str, dict[str, float]] | None, power: float, keep: float, others: bool = False) -> DataFrame:
+    """The dimensions and weight of every cell of described rows."""
     raked = rake(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), shares or {}, power, others)
-    one = Window.partitionBy()
-    if keep is None:
-        weight = F.col("raked") / F.col("tokens")
-        weight = F.coalesce(F.try_divide(weight, F.max(F.when(F.col("tokens") > 0, weight)).over(one)), F.lit(0.0))
-    else:
-        weight = F.lit(keep) * F.col("raked") * F.sum("tokens").over(one) / F.col("tokens")
-    return raked.withColumn("weight", F.when(F.col("tokens") > 0, F.round(weight, 9)).otherwise(0.0)).select(*DIMENSIONS, "weight")
+    whole = raked.agg(F.sum("tokens")).first()[0] or 0
+    weight = F.lit(keep) * F.col("raked") * F.lit(whole) / F.col("tokens")
+    return written(raked.withColumn("weight", F.when(F.col("tokens") > 0, F.round(weight, 9)).otherwise(0.0)).select(*DIMENSIONS, "weight"), "weights")
 
 
 def _copies(seed: int) -> Column:
     return (F.floor("weight") + (uniform(seed) < F.col("weight") - F.floor("weight")).cast("int")).cast("long")
 
 
-def left_out(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep: float | None = 1.0, seed: int = 1, others: bool = False) -> DataFrame:
-    """doc_id of the documents that mix() gives no copy, as a table."""
-    return written(mix(docs, shares, power, keep, seed, others).where("copies = 0 and doc_id is not null").select("doc_id").distinct(), "left-out")
-
-
-def mix(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep: float | None = 1.0, seed: int = 1, others: bool = False) -> DataFrame:
+def mix(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep: float = 1.0, seed: int = 1, others: bool = False) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, copies for every row of docs.
 
-    weight is the expected number of copies, probability that of being in the sample at all, copies the decision. With
-    keep None the sample is the largest in which no document is expected more than once. Values without a given share
-    have weight 0, or with others the share that they would have if none were given. Null names count as '', null texts
-    as empty. Texts without words have the weight of their cell, or 0 if the cell has no tokens. Rows that share a doc_id
-    decide alike. An existing topic column is used; other columns are ignored.
+    weight is the expected number of copies, probability that of being in the sample at all, copies the decision. Values
+    without a given share have weight 0, or with others the share that they would have if none were given. Null names
+    count as '', null texts as empty. Texts without words have the weight of their cell, or 0 if the cell has no tokens.
+    Rows that share a doc_id decide alike, as do rows without one. An existing topic column is used; other columns are
+    ignored; an empty table gives an empty one.
     """
-    rows = described(docs)
+    rows = written(described(docs), "described")
     found = rows.join(cell_weights(rows, shares, power, keep, others), list(DIMENSIONS)).withColumn("copies", _copies(seed))
     return found.select("doc_id", *DIMENSIONS, "n_tokens", F.round("weight", 6).alias("weight"), F.round(F.least(F.col("weight"), F.lit(1.0)), 6).alias("probability"), "copies")
+
+
+def sampled(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep: float = 1.0, seed: int = 1, others: bool = False) -> DataFrame:
+    """docs, all columns, each row as often as mix() decides, so expected tokens meet the targets; rows without a doc_id stay once.
+
+    Cells are joined in place: their weights are broadcast while they are few (CELL_ROWS), so texts aren't shuffled then.
+    """
+    weights = cell_weights(described(docs), shares, power, keep, others)
+    weights = F.broadcast(weights) if weights.limit(CELL_ROWS + 1).count() <= CELL_ROWS else weights
+    mark = uuid.uuid4().hex  # no column of docs has such a name
+    topic = F.coalesce(F.col("topic").cast("string"), F.lit("")) if "topic" in docs.columns else topic_of(text_or_empty())
+    cells = {f"{d}_{mark}": F.coalesce(F.col(d).cast("string"), F.lit("")) for d in ("source", "lang")} | {f"topic_{mark}": topic}
+    placed = docs.withColumns(cells).join(weights.select(*(F.col(d).alias(f"{d}_{mark}") for d in DIMENSIONS), F.col("weight").alias(f"weight_{mark}")), [f"{d}_{mark}" for d in DIMENSIONS])
+    weight = F.col(f"weight_{mark}")
+    copies = F.when(F.col("doc_id").isNull(), 1).otherwise((F.floor(weight) + (uniform(seed) < weight - F.floor(weight)).cast("int")).cast("int"))
+    once = placed.withColumn(f"copy_{mark}", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import json
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from tessera.llm import mixing
 from tessera.llm.common import table_path
 from tessera.llm.cross_polytope import hadamard, nearest
 from tessera.llm.mixing import described, mix, rake
@@ -205,20 +207,22 @@ def target_shares(tokens, shares, power):
 
 def test_stage_meets_the_target_shares(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    rows = described(docs).collect()
-    left = {r.doc_id for r in corpus_pipeline.source_mix(spark, docs, SF).select("doc_id").collect()}
-    weights = mix(docs, MIX_SHARES, MIX_POWER, keep=None).collect()
-    assert max(r.weight for r in weights) == 1.0 and left == {r.doc_id for r in weights if r.copies}
+    rows = {r.doc_id: r for r in described(docs).collect()}
+    times = Counter(r.doc_id for r in corpus_pipeline.source_mix(spark, docs, SF).select("doc_id").collect())
+    weights = mix(docs, MIX_SHARES, MIX_POWER, others=True).collect()
+    assert dict(times) == {r.doc_id: r.copies for r in weights if r.copies}
+    # No document of an under-represented cell is lost, and the shares of the whole stay within a hundredth of the targets.
+    assert all(times[r.doc_id] >= int(r.weight) for r in weights)
     for d in ("source", "lang", "topic"):
-        tokens, kept, expected = {}, {}, {}
-        for r in rows:
-            tokens[r[d]] = tokens.get(r[d], 0) + r.n_tokens
-            kept[r[d]] = kept.get(r[d], 0) + r.n_tokens * (r.doc_id in left)
+        tokens, kept, expected = Counter(), Counter(), Counter()
+        for r in rows.values():
+            tokens[r[d]] += r.n_tokens
+            kept[r[d]] += r.n_tokens * times[r.doc_id]
         for r in weights:
-            expected[r[d]] = expected.get(r[d], 0.0) + r.n_tokens * r.weight
+            expected[r[d]] += r.n_tokens * r.weight
         want = target_shares(tokens, MIX_SHARES.get(d), MIX_POWER)
         assert {v: x / sum(expected.values()) for v, x in expected.items()} == pytest.approx(want, abs=1e-5)
-        assert {v: x / sum(kept.values()) for v, x in kept.items()} == pytest.approx(want, abs=0.03)
+        assert {v: x / sum(kept.values()) for v, x in kept.items()} == pytest.approx(want, abs=0.02)
 
 
 def test_stage_keeps_languages_without_a_share(spark):
@@ -229,12 +233,17 @@ def test_stage_keeps_languages_without_a_share(spark):
     own = {v: n**MIX_POWER for v, n in {"en": 400, None: 300, "xx": 300}.items()}
     for v, x in own.items():
         assert kept.count(v) / len(kept) == pytest.approx(x / sum(own.values()), abs=0.04)
-    weights = mix(docs, MIX_SHARES, MIX_POWER, keep=None, others=True).select("lang", "weight").distinct().collect()
-    tokens = {r.lang: r.weight * {"en": 400, "": 300, "xx": 300}[r.lang] for r in weights}
-    assert {v: x / sum(tokens.values()) for v, x in tokens.items()} == pytest.approx({v or "": x / sum(own.values()) for v, x in own.items()}, abs=1e-5)
     assert corpus_pipeline.source_mix(spark, docs.where("lang is null"), SF).count() == 300
 
 
+def test_many_cells_are_raked_alike(spark, monkeypatch):
+    docs = documents(spark)
+    few = {r.doc_id: r.weight for r in mix(docs, MIX_SHARES, MIX_POWER, others=True).collect()}
+    monkeypatch.setattr(mixing, "CELL_ROWS", 3)
+    assert {r.doc_id: r.weight for r in mix(docs, MIX_SHARES, MIX_POWER, others=True).collect()} == pytest.approx(few, abs=2e-6)
+    assert mixing.sampled(docs, MIX_SHARES, MIX_POWER, others=True).columns == docs.columns
+
+
 def test_raking_reports_targets_out_of_reach(spark):
     cells = spark.createDataFrame([("a", "en", "t", 10), ("b", "de", "t", 10)], "source string, lang string, topic string, tokens long")
     with pytest.warns(UserWarning, match="off the target shares"):
@@ -298,7 +307,7 @@ def test_pipeline(spark):
         stage(spark, now, SF).write.parquet(path)
         before, now = now, spark.read.parquet(path)
         if k < 4:
-            assert now.columns == docs.columns and now.count() <= before.count()
+            assert now.columns == docs.columns and (now.count() <= before.count() or k == 3)
     assert now.count() > 0 and {r.n_tokens == len(r.token_ids) for r in now.collect()} == {True}
 
 
