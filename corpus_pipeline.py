@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.bpe import encode_documents
 from tessera.llm.common import by_ids, table_path, written
 from tessera.llm.line_crf import fit, keep_accepted
-from tessera.llm.mixing import left_out
+from tessera.llm.mixing import sampled
 from tessera.llm.parity_join import similar_documents
 from tessera.llm.queries import MIX_POWER, MIX_SHARES
 from tessera.llm.substring_dedup import cleaned
@@ -36,11 +36,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The largest sample of the documents whose expected tokens meet the target weights with each document at most once.
+    """Documents as often as the mix asks for: expected tokens meet the target weights, so those of scarce cells are
+    repeated and those of plentiful ones thinned out.
 
     Languages that MIX_SHARES lacks, null among them, keep their share as for source and topic.
     """
-    return by_ids(docs, left_out(docs, MIX_SHARES, MIX_POWER, keep=None, others=True), "left_anti")
+    return sampled(docs, MIX_SHARES, MIX_POWER, others=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
