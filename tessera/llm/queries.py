@@ -43,12 +43,14 @@ def op9_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH c AS (SELECT conv_id, turn, 'call_' || conv_id || '_' || turn AS call_id, CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name, text, length(text) AS chars,
+WITH RECURSIVE c AS (SELECT conv_id, turn, 'call_' || conv_id || '_' || turn AS call_id, CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name, text, length(text) AS chars,
     length(text) - length(replace(text, chr(10), '')) + 1 AS lines FROM conversations WHERE role IN ('user', 'system')),
 r AS (SELECT conv_id, turn AS r_turn, 'call_' || conv_id || '_' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'),
-j AS (SELECT conv_id, coalesce(c.turn, r_turn) AS turn, call_id, name, c.turn::BIGINT AS level, content, text, chars, lines, c.turn IS NOT NULL AS called,
+v AS (SELECT conv_id, turn, 0 AS level FROM c UNION SELECT c.conv_id, c.turn, v.level + 1 FROM v JOIN c ON c.conv_id = v.conv_id AND c.turn - v.turn IN (1, 2)),
+l AS (SELECT conv_id, turn, max(level) AS level FROM v GROUP BY ALL),
+j AS (SELECT conv_id, coalesce(c.turn, r_turn) AS turn, call_id, name, level::BIGINT AS level, content, text, chars, lines, c.turn IS NOT NULL AS called,
     CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r_turn IS NULL THEN 'unanswered' ELSE 'answered' END AS status
-  FROM c FULL JOIN r USING (conv_id, call_id)),
+  FROM c FULL JOIN r USING (conv_id, call_id) LEFT JOIN l ON l.conv_id = c.conv_id AND l.turn = c.turn),
 p AS (SELECT *, CASE WHEN NOT called THEN 'call:missing' ELSE concat_ws(',', CASE WHEN chars < 1 OR chars > CASE name WHEN 'reply' THEN 400 ELSE 4000 END THEN 'chars:range' END,
     CASE WHEN name = 'reply' AND lines > 4 THEN 'lines:range' END, CASE WHEN chars < 1 THEN 'prompt:range' END) END AS problems FROM j)
 SELECT conv_id, turn, call_id, name, level, status, problems = '' AS valid, problems,

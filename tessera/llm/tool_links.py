@@ -1,9 +1,12 @@
 """Linking of tool calls with their results, in DataFrame functions only.
 
-Calls and results meet in a hash join on (conv_id, call_id). Turns order a conversation's calls where every
-dependency lies in an earlier turn; where one doesn't, calls are peeled: those whose dependencies are all placed come
-next, one join per level. Arguments are checked against the tool's schema and serialised as canonical JSON: keys sorted, no blanks, nulls kept. One row per call or orphan result;
-(level, turn, call_id) is the order inside a conversation, so no conversation is ever collected.
+Calls and results meet in a shuffled hash join on (conv_id, call_id). A call's level is the length of the longest chain of
+dependencies before it, and (level, turn, call_id) is a topological order of its conversation. Levels come from the edge
+table: a dependency that another one implies goes (the longest chain doesn't use it); a call with one dependency left
+points to it, and pointers are doubled until each reaches an anchor, a call with none or several; anchors are then
+placed one after the other along their chains. So a chain of a thousand calls takes ten joins, rows stay as many as
+calls, and no conversation is ever collected. Arguments are checked against the tool's schema and serialised as canonical
+JSON: keys sorted, no blanks, nulls kept. One row per call or orphan result.
 """
 
 from __future__ import annotations
@@ -51,35 +54,64 @@ def _problems(parsed: Column, fields: list[Field]) -> Column:
     return F.array_compact(F.array(*found))
 
 
+_CALL = ["conv_id", "call_id"]
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level of calls (conv_id, call_id, turn, after array<string>): (level, turn, call_id) is a topological order.
+    """conv_id, call_id, level of calls (conv_id, call_id, after array<string>): the longest chain of dependencies before each.
 
-    Where all dependencies of a conversation lie in earlier turns, turns are the levels, however long it is. Other
-    conversations are peeled: a call's level is the length of the longest chain before it, and calls on or behind a cycle
-    are left out. Dependencies that are no calls of the conversation are passed over, as are repeated ones.
+    Calls on or behind a cycle are left out. Dependencies that are no calls of the conversation are passed over, as are
+    repeated ones; a call that waits for itself is a cycle.
     """
-    here = calls.select("conv_id", "call_id", "turn")
-    edges = calls.select("conv_id", "call_id", "turn", F.explode("after").alias("parent")).distinct()
-    edges = edges.join(here.select("conv_id", F.col("call_id").alias("parent"), F.col("turn").alias("before")), ["conv_id", "parent"])
-    odd = written(edges.where(~F.coalesce(F.col("before") < F.col("turn"), F.lit(False))).select("conv_id").distinct(), "odd")
-    plain = here.join(odd, "conv_id", "left_anti").select("conv_id", "call_id", F.coalesce("turn", F.lit(0)).cast("long").alias("level"))
-    return plain if odd.isEmpty() else plain.unionByName(_peeled(here.join(odd, "conv_id", "left_semi"), edges.join(odd, "conv_id", "left_semi")))
-
-
-def _peeled(here: DataFrame, edges: DataFrame) -> DataFrame:
-    waits = written(edges.select("conv_id", "call_id", "parent"), "waits")
-    front = written(here.select("conv_id", "call_id").join(waits, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")), "level")
-    every = front
-    while not front.isEmpty():
-        met = waits.join(front.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_semi").select("conv_id", "call_id").distinct()
-        left = written(waits.join(front.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_anti"), "waits")
-        level = every.agg(F.max("level")).first()[0] + 1
-        front = written(met.join(left, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level).cast("long")), "level")
-        every, old = written(every.unionByName(front), "levels"), every
+    here = calls.select(*_CALL)
+    edges = calls.select(*_CALL, F.explode("after").alias("parent")).distinct()
+    edges = written(edges.join(here.withColumnRenamed("call_id", "parent").hint("shuffle_hash"), ["conv_id", "parent"]), "edges")
+    implied = edges.join(edges.select("conv_id", F.col("call_id").alias("parent"), F.col("parent").alias("before")), ["conv_id", "parent"])
+    implied = implied.select(*_CALL, F.col("before").alias("parent")).distinct()
+    placed = _placed(here, edges.join(implied, [*_CALL, "parent"], "left_anti"))
+    # Where there is a cycle, dependencies may imply each other: then some call isn't over all that it waits for.
+    mine, theirs = placed.select(*_CALL, "level"), placed.select("conv_id", F.col("call_id").alias("parent"), F.col("level").alias("below"))
+    odd = edges.join(mine, _CALL, "left").join(theirs, ["conv_id", "parent"], "left").where("level is null or below is null or level <= below").select("conv_id").distinct()
+    odd = written(odd, "odd")
+    if odd.isEmpty():
+        return placed
+    again = _placed(here.join(odd, "conv_id", "left_semi"), edges.join(odd, "conv_id", "left_semi"))
+    return placed.join(odd, "conv_id", "left_anti").unionByName(again)
+
+
+def _placed(here: DataFrame, edges: DataFrame) -> DataFrame:
+    """The levels of all calls that aren't on or behind a cycle of edges (conv_id, call_id, parent)."""
+    edges = written(edges.select(*_CALL, "parent"), "edges")
+    waits = edges.groupBy(*_CALL).agg(F.count("*").alias("n"), F.min("parent").alias("parent"))
+    single = F.coalesce(F.col("n") == 1, F.lit(False))
+    now = here.join(waits, _CALL, "left").select(*_CALL, F.when(single, F.col("parent")).otherwise(F.col("call_id")).alias("up"), F.when(single, 1).otherwise(0).cast("long").alias("far"), (~single).alias("done"))
+    now = written(now, "pointers")
+    longest = now.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(int(longest).bit_length() + 1):
+        if now.where("not done").isEmpty():
+            break
+        on = now.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("far").alias("more"), F.col("done").alias("there"))
+        moved = now.where("not done").join(on, ["conv_id", "up"]).select(*_CALL, F.col("next").alias("up"), (F.col("far") + F.col("more")).alias("far"), F.col("there").alias("done"))
+        now, old = written(now.where("done").unionByName(moved), "pointers"), now
+        dropped(old)
+    now = now.where("done")  # what points on and on is on or behind a cycle
+    anchors = now.where("up = call_id").select(*_CALL)
+    roots = anchors.join(edges, _CALL, "left_anti").withColumn("level", F.lit(0).cast("long"))
+    level = written(roots, "levels")
+    several = edges.join(anchors, _CALL, "left_semi")
+    left = written(several.join(now.select("conv_id", F.col("call_id").alias("parent"), "up", "far"), ["conv_id", "parent"], "left").select(*_CALL, F.col("up").alias("anchor"), (F.col("far") + 1).alias("far")), "waits")
+    while not left.isEmpty():
+        met = left.join(level.withColumnRenamed("call_id", "anchor"), ["conv_id", "anchor"], "left")
+        ready = met.groupBy(*_CALL).agg(F.max(F.col("level") + F.col("far")).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("whole")).where("whole").drop("whole")
+        ready = written(ready, "levels")
+        if ready.isEmpty():
+            break
+        left, old = written(left.join(ready.select(*_CALL), _CALL, "left_anti"), "waits"), left
+        dropped(old)
+        level, old = written(level.unionByName(ready), "levels"), level
         dropped(old)
-        dropped(waits)
-        waits = left
-    return every
+    found = now.join(level.withColumnRenamed("call_id", "up"), ["conv_id", "up"])
+    return written(found.select(*_CALL, (F.col("level") + F.col("far")).alias("level")), "levels")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, list[Field]]) -> DataFrame:
@@ -94,7 +126,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, list[Fie
     first = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after"))).alias("c")).select("conv_id", "call_id", "c.*")
     first = written(first, "calls")
     answer = results.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
-    linked = first.join(answer, ["conv_id", "call_id"], "full_outer").join(levels(first), ["conv_id", "call_id"], "left")
+    linked = first.join(answer.hint("shuffle_hash"), _CALL, "full_outer").join(levels(first).hint("shuffle_hash"), _CALL, "left")
     called = F.col("arguments").isNotNull() | F.col("turn").isNotNull() | F.col("name").isNotNull() | F.col("after").isNotNull()
     parsed = F.try_parse_json("arguments")
     linked = linked.withColumn("called", called).withColumn("parsed", parsed).withColumn("shape", F.schema_of_variant("parsed"))
