@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tessera.llm import mixing
+from tessera.llm import cross_polytope, mixing
 from tessera.llm.common import table_path
-from tessera.llm.cross_polytope import hadamard, nearest
+from tessera.llm.cross_polytope import hadamard, nearest, search
 from tessera.llm.mixing import described, mix, rake
 from tessera.llm.queries import MIX_POWER, MIX_SHARES, URL_RULES
 from tessera.llm.tool_links import SCHEMAS, Field, conversation_calls, levels, link_calls
@@ -132,42 +132,55 @@ def test_nearest_small_and_odd_rows(spark):
     rows = [(k, rng.normal(size=5).tolist()) for k in range(45)] + [(100 + k, [1.0, 2.0, 0.0, 0.0, 0.5]) for k in range(40)]
     rows += [(200, None), (201, [0.0] * 5), (202, [1.0, None, 1.0, 1.0, 1.0]), (203, [float("nan")] + [1.0] * 4), (204, [float("inf")] * 5), (205, [1.0, 2.0]), (206, []), (None, [1.0] * 5), (210, [3.0, 1.0])]
     table = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, ids string, side int")
-    got = nearest(table, table.where("vec_id % 5 = 0"), k=20, shard_rows=30).collect()
+    got = nearest(table, table.where("vec_id % 5 = 0"), k=20).collect()
     want = brute_nearest(rows, 20, lambda q: q % 5 == 0)
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(w[:3] for w in want)
     np.testing.assert_allclose(sorted(r.score for r in got), sorted(w[3] for w in want))
     assert nearest(table.limit(0), table.limit(0)).count() == 0
 
 
-def test_recall(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
-    rows = [(r.vec_id, r.embedding) for r in df.collect()]
-    got = {(r.query_id, r.vec_id) for r in nearest(df, df.where("vec_id % 20 = 0")).collect()}
-    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
-    want = set()
-    for q in np.flatnonzero(ids % 20 == 0):
-        s = x @ x[q]
-        s[q] = -np.inf
-        want |= {(int(ids[q]), int(ids[j])) for j in np.argsort(-s)[:20]}
-    assert len(got & want) >= 0.95 * len(want) and len(got) == len(want)
-
-
-@pytest.mark.parametrize("kind", ["one long vector", "spread lengths"])
-def test_recall_of_other_lengths(spark, kind):
+@pytest.mark.parametrize("kind", ["as they are", "one long vector", "spread lengths", "two dimensions"])
+def test_recall(spark, kind):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    rng = np.random.default_rng(0)
     if kind == "one long vector":
         x[7] *= 5
-    else:
-        x *= np.exp(np.random.default_rng(0).normal(scale=0.3, size=(len(x), 1)))
-    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
-    got = {(r.query_id, r.vec_id) for r in nearest(df, df.where("vec_id % 20 = 0")).collect()}
-    want = set()
-    for q in np.flatnonzero(ids % 20 == 0):
+    elif kind == "spread lengths":
+        x *= np.exp(rng.normal(scale=0.3, size=(len(x), 1)))
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+    if kind == "two dimensions":
+        rows += [(100_000 + k, rng.normal(size=6).tolist()) for k in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 20 = 0")
+    got = {(r.query_id, r.vec_id) for r in nearest(df, queries).collect()}
+    want = {(q, i) for q, _, i, _ in brute_nearest(rows, 20, lambda q: q % 20 == 0)} if kind == "two dimensions" else set()
+    for q in np.flatnonzero(ids % 20 == 0) if not want else []:
         s = x @ x[q]
         s[q] = -np.inf
         want |= {(int(ids[q]), int(ids[j])) for j in np.argsort(-s)[:20]}
-    assert len(got & want) >= 0.98 * len(want) and len(got) == len(want)
+    reranked = search(df, cross_polytope._usable(queries).withColumn("class_id", cross_polytope._class()), 20).where("vec_id is null").agg(F.sum("score")).first()[0]
+    share = reranked / (queries.count() * df.count())
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want), kind
+    assert share < 0.1, share
+
+
+def test_buckets_of_concatenated_hashes(spark, monkeypatch):
+    for name, value in (("WHOLE_ROWS", 128), ("BUCKET_ROWS", 4), ("EXACT_ROWS", 64)):
+        monkeypatch.setattr(cross_polytope, name, value)
+    plan = cross_polytope.Plan(6, 100)
+    q = np.random.default_rng(2).normal(size=(5, 6))
+    for hashes in (1, 2, 3):
+        every = plan.probes(q, 1, hashes, plan.hashing.axes**hashes)
+        assert all(sorted(row) == list(range(plan.hashing.axes**hashes)) for row in every.tolist())
+        assert (plan.probes(q, 1, hashes, 1)[:, 0] == plan.buckets(q, 1, hashes)).all()  # the best is a vector's own
+    x = np.random.default_rng(3).normal(size=(600, 6)).round(3)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1000 + k, x[5].tolist()) for k in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in nearest(df, df.where("vec_id % 20 = 0"), 5, exact_rows=64).collect()}
+    want = {(q, i): s for q, _, i, s in brute_nearest(rows, 5, lambda q: q % 20 == 0)}
+    assert len(got) == len(want) and len(got.keys() & want.keys()) >= 0.9 * len(want)
+    assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in got.keys() & want.keys())
 
 
 def test_hadamard():
