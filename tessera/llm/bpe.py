@@ -6,8 +6,9 @@ last token of the remaining prefix without any merge firing across their border.
 lists the tokens that end at each position (the suffixes of the prefix that are tokens), the pair test picks the one,
 and back-pointers from the end give the ids. No merge queue is run.
 
-Words are cached per Python worker up to CACHE_WORDS, as natural text repeats them; a full cache is emptied, which
-changes speed only. Memory is bounded by that cache, the vocabulary and one text.
+Words are cached within a task, as natural text repeats them: at most CACHE_WORDS and none of more than CACHE_CHARS
+characters; a full cache is emptied, which changes speed only, and no task leaves one behind. Memory is bounded by that
+cache, the vocabulary and one text, whatever its words' lengths.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import map_rows, text_or_empty
 
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS = 100_000, 400_000, 64
 _END = "\n"  # the end-of-word mark inside the automaton; byte-level symbols never hold it
 #: Fixed value: the tokenizer's pattern for pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -125,7 +126,7 @@ class WordBpe:
         """Whether encoding the text of x and y together gives exactly x, y."""
         known = self._beside.get((x, y))
         if known is None:
-            if len(self._beside) > 2_000_000:
+            if len(self._beside) > CACHE_PAIRS:
                 self._beside.clear()
             known = self._beside[x, y] = self._unbroken(x, y, float("inf"))
         return known
@@ -171,9 +172,9 @@ class WordBpe:
         text = text.lower()
         return self._chunks(text) if self._separators(text) else text.split()
 
-    def encode_chunk(self, chunk: str) -> tuple[str, str]:
+    def encode_chunk(self, chunk: str) -> str:
         if chunk[0] == " ":
-            return str(self.special[chunk[1:]]), chunk[1:]
+            return str(self.special[chunk[1:]])
         known, ids = self._word_cache, []
         if len(known) > CACHE_WORDS:
             known.clear()
@@ -181,9 +182,11 @@ class WordBpe:
         for word in self._newer_words(chunk) if newer else self._words(chunk):
             found = known.get(word)
             if found is None:
-                found = known[word] = self.encode_word(word)
+                found = self.encode_word(word)
+                if len(word) <= CACHE_CHARS:
+                    known[word] = found
             ids += found
-        return " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
+        return " ".join(map(str, ids))
 
     def _newer_words(self, chunk: str) -> list[str]:
         """Pre-tokens of a chunk with characters that this Python's Unicode tables lack: by the tables of the tokenizers library."""
@@ -192,26 +195,32 @@ class WordBpe:
         chunk = normalizers.Lowercase().normalize_str(chunk)
         return [w for w, _ in pre_tokenizers.Split(Regex(PATTERN), "removed", invert=True).pre_tokenize_str(chunk)]
 
-    def encode_text(self, text: str) -> tuple[str, str]:
-        """Decimal ids joined by one space; the decoded text: token texts joined by one space, as with no decoder."""
+    def encode_text(self, text: str) -> str:
+        """Decimal ids, joined by one space."""
         if len(self._cache) > CACHE_WORDS:
             self._cache.clear()
-        found = list(map(self._cache.__getitem__, self.chunks(text)))
-        return " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
+        return " ".join(filter(None, map(self._cache.__getitem__, self.chunks(text))))
+
+    def forget(self) -> None:
+        """Empties the caches."""
+        for cache in (self._cache, self._word_cache, self._beside):
+            cache.clear()
 
     def decode(self, ids: list[int]) -> str:
-        """As the library's decode(ids, skip_special_tokens=False) without a decoder; unknown ids are left out."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        """As the library's decode(ids, skip_special_tokens=False) without a decoder: token texts joined by one space; unknown ids are left out."""
+        return " ".join(filter(None, map(self.names.get, ids)))
 
 
 class _Chunks(dict):
-    """Chunk to its ids and decoded text; a missing one is encoded and stored."""
+    """Chunk to its ids; a missing one is encoded and, unless it is long, stored."""
 
     def __init__(self, model: WordBpe):
         self.model = model
 
-    def __missing__(self, chunk: str) -> tuple[str, str]:
-        found = self[chunk] = self.model.encode_chunk(chunk)
+    def __missing__(self, chunk: str) -> str:
+        found = self.model.encode_chunk(chunk)
+        if len(chunk) <= CACHE_CHARS:
+            self[chunk] = found
         return found
 
 
@@ -231,9 +240,12 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         model = model_of(path)
         for doc_id, text in rows:
-            ids, decoded = model.encode_text(text)
-            row = (doc_id, ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-            yield (*row, np.array(ids.split(), dtype=np.int32)) if with_ids else row
+            ids = model.encode_text(text)
+            numbers = np.array(ids.split(), dtype=np.int32)
+            decoded = model.decode(numbers.tolist())
+            row = (doc_id, len(numbers), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+            yield (*row, numbers) if with_ids else row
+        model.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
     return map_rows(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, schema)
