@@ -84,6 +84,11 @@ def by_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, df["doc_id"].cast("long") == ids["doc_id"], how)
 
 
+def few(table: DataFrame) -> DataFrame:
+    """A written table of digests, to be broadcast if its rows, some 100 bytes each, are few enough for that."""
+    return F.broadcast(table) if table.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4 else table
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

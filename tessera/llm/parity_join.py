@@ -34,12 +34,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from tessera.llm.common import BROADCAST_IDS, by_ids, dropped, map_rows, text_or_empty, written
+from tessera.llm.common import BROADCAST_IDS, by_ids, dropped, few, give_back, map_rows, text_or_empty, written
 from tessera.llm.components import components
 
 DENSE_WORDS = 8  # 64-bit words of the dense sketch
 BAND_RATIO = 1.5
-BLOCK_KEYS = 1 << 20
+BLOCK_KEYS = 1 << 18
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -135,7 +135,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
     about = written(map_rows(texts, describe, "doc_id long, n long, set_id binary, sketch array<long>"), "sets")
     repeated = about.where("doc_id is not null and n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")).where("rep < most").select("set_id", "rep")
     repeated = written(repeated, "repeated-sets")
-    folded = about.join(_few(repeated), "set_id", "left").select("doc_id", "n", "sketch", F.coalesce("rep", "doc_id").alias("rep"))
+    folded = about.join(few(repeated), "set_id", "left").select("doc_id", "n", "sketch", F.coalesce("rep", "doc_id").alias("rep"))
     folded = written(folded, "folded")
     linkable = folded.where("doc_id is not null and n > 0")
     reps = linkable.where("doc_id = rep").select("doc_id", "n", "sketch")
@@ -162,6 +162,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
                         keys, ids, held = [], [], 0
         if held:
             yield from headed(np.concatenate(keys), np.concatenate(ids))
+        give_back()
 
     def headed(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Rows (key, class, head): no head where the class alone has the key in this block, itself where it is the head."""
@@ -210,11 +211,6 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
     return out
 
 
-def _few(table: DataFrame) -> DataFrame:
-    """A written table of digests, to be broadcast if its rows, some 100 bytes each, are few enough for that."""
-    return F.broadcast(table) if table.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4 else table
-
-
 def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     x, y = reps.alias("x"), reps.alias("y")
     both = pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id"))

@@ -2,13 +2,17 @@
 
 Writing: pages whose payloads are equal are found by one narrow aggregation over payload digests (partial sums first, so
 a payload of a third of all pages costs one row per task); the page with the largest page_id keeps the payload, the
-others become revisit records. Every task writes bundles of its own: records are gathered into frames of about
-FRAME_BYTES, each an independent Zstandard frame; a skippable frame with the seek table closes the bundle. The index
-maps each record to bundle, frame and offset inside the frame. A bundle is written under a temporary name and renamed,
-and only index rows of tasks that succeeded count, so a lost executor leaves nothing half-written in the index.
-
-Reading: index rows meet by bundle; a task opens the bundle, reads the seek table from its end, seeks to each frame that
-it needs and cuts the records out of it. Memory is bounded by one frame (or one record, if that is larger).
+others become revisit records. Digests that repeat are broadcast behind a check of their number, so payloads stay where
+they were read; beyond it the adaptive skew join splits a digest of many pages. Every task writes bundles of its own:
+records are gathered into frames of about FRAME_BYTES, each an independent Zstandard frame; a skippable frame with the
+seek table closes the bundle. The index maps each record to bundle, frame and offset inside the frame. A bundle is written
+under a temporary name and renamed, and only index rows of tasks that succeeded count, so a lost executor leaves nothing
+half-written in the index.
+
+Reading: index rows meet by bundle and stretch of FRAMES frames, in as many tasks as the records' bytes ask for
+(READ_BYTES each), so neither one bundle nor a narrow index makes a single task; a task opens the bundle, reads the seek
+table from its end, seeks to each frame that it needs and cuts the records out of it. Memory is bounded by one frame (or
+one record, if that is larger).
 
 Bundles lie in the shared folder of the session (spark.checkpoint.dir), which pyarrow.fs must be able to open.
 """
@@ -27,10 +31,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_rows, table_path, written
+from tessera.llm.common import few, map_rows, table_path, written
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 1 << 30
+FRAMES, READ_BYTES = 8, 16 << 20
 # Fixed values of the seekable format: skippable-frame magic, footer magic.
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -138,7 +143,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
     rows = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     keyed = rows.withColumn("digest", F.sha1("payload"))
     copies = keyed.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("digest", "keeper")
-    planned = keyed.join(copies, "digest", "left").select("page_id", "url", "payload", "keeper")
+    planned = keyed.join(few(written(copies, "copies")), "digest", "left").select("page_id", "url", "payload", "keeper")
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         bundle = None
@@ -186,7 +191,9 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
         if file:
             file.close()
 
-    placed = index.select("bundle", "frame", "offset", "length").repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+    stretch = F.floor(F.col("frame") / FRAMES)
+    placed = index.select("bundle", "frame", "offset", "length").repartition(tasks, "bundle", stretch).sortWithinPartitions("bundle", "frame", "offset")
     return map_rows(placed, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload_ok boolean")
 
 
