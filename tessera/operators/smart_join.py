@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.llm import ask_all
+from tessera.functions.llm import ask_all, with_usage
 from tessera.functions.providers import OfflineProvider, Provider
 from tessera.functions.similarity import fuzzy_ratio, hashed_embedding, unit, unit_cosine
 from tessera.operators.algorithm import Algorithm, parse_algorithm
-from tessera.plans.staging import with_position
+from tessera.plans.staging import fresh, with_position
 
 LEFT_LIMIT, GATE, BROADCAST_BYTES, DEFAULT_K = 10_000, 0.01, 64 << 20, 5
 #: Fixed value: the JSON schema of a decision.
@@ -47,7 +47,7 @@ def _text(name: str) -> Column:
 def candidates(left: DataFrame, right: DataFrame, algorithm: str | Algorithm, embed: Callable[[Column], Column] = hashed_embedding, left_key: str | None = None, right_key: str | None = None, blocking: bool = True, check: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(left with left_idx, right with right_idx, top k pairs: left_idx, right_idx, rank, score, part_0, part_1, ...).
 
-    Ranks order by score, then by the larger right_idx. Null and non-numeric values count as 0 for numeric mechanisms,
+    The index is the last column of left and right, under another name where a column of theirs has that one. Ranks order by score, then by the larger right_idx. Null and non-numeric values count as 0 for numeric mechanisms,
     null texts as empty; null equals null for exact matches of anything but floating numbers. semantic_distance takes
     arrays of numbers as embeddings and embeds texts, once per row, with embed.
     """
@@ -58,8 +58,8 @@ def candidates(left: DataFrame, right: DataFrame, algorithm: str | Algorithm, em
         for side, df in (("left", left), ("right", right)):
             if c not in df.columns:
                 raise ValueError(f"column {c!r} is not in the {side} table")
-    left, right = _side(left, left_key, "left_idx"), _side(right, right_key, "right_idx")
-    l_cols, r_cols, scores, equal = [F.col("left_idx")], [F.col("right_idx")], [], []
+    left, right = _side(left, left_key, fresh("left_idx", left.columns)), _side(right, right_key, fresh("right_idx", right.columns))
+    l_cols, r_cols, scores, equal = [F.col(left.columns[-1]).alias("left_idx")], [F.col(right.columns[-1]).alias("right_idx")], [], []
     spans = []
     n_right = right.count()
     ranks_l, ranks_r = [], []
@@ -130,8 +130,8 @@ def _ranked(lf: DataFrame, rf: DataFrame, i: int, falling: bool, n_right: int) -
 
 def _grouped(left: DataFrame, right: DataFrame, top: DataFrame, algorithm: Algorithm) -> DataFrame:
     """left_idx, best, candidates: an array of at most k structs by rank with the right row's JSON and score breakdown."""
-    names = {c: F.col(f"`{c}`") for c in right.columns if c != "right_idx"}
-    rows = right.select("right_idx", _json(*names.values()).alias("right_row"), _json(*(names[c] for c in algorithm.columns)).alias("right_row_alg_cols"))
+    names = {c: F.col(f"`{c}`") for c in right.columns[:-1]}
+    rows = right.select(F.col(right.columns[-1]).alias("right_idx"), _json(*names.values()).alias("right_row"), _json(*(names[c] for c in algorithm.columns)).alias("right_row_alg_cols"))
     breakdown = F.create_map(*[x for i, c in enumerate(algorithm.criteria) for x in (F.lit(_label(algorithm, i)), F.col(f"part_{i}"))])
     joined = top.join(rows, "right_idx")
     one = F.struct("rank", "right_idx", "score", breakdown.alias("breakdown"), "right_row", "right_row_alg_cols")
@@ -149,7 +149,7 @@ def _json(*cols: Column) -> Column:
 
 
 def _decided(asked: DataFrame, instruction: str, provider: Provider) -> DataFrame:
-    """asked with decision, a struct of selected_candidate and confidence; a failed call gives null."""
+    """asked with prompt and decision, a struct of selected_candidate and confidence; a failed call gives null."""
     shown = F.transform("candidates", lambda c: F.struct(c["rank"].alias("number"), F.round(c["score"], 3).alias("combined_score"), F.transform_values(c["breakdown"], lambda _, v: F.round(v, 3)).alias("scores"), c["right_row_alg_cols"].alias("row")))
     prompt = _json(F.lit("choose").alias("task"), F.lit(instruction).alias("instruction"), F.col("left_row_alg_cols").alias("left"), shown.alias("candidates"))
 
@@ -158,7 +158,7 @@ def _decided(asked: DataFrame, instruction: str, provider: Provider) -> DataFram
         return pd.Series(ask_all(list(prompts), lambda p: json.dumps(provider.structured(p, DECISION))), dtype=object)
 
     run = decide if isinstance(provider, OfflineProvider) else decide.asNondeterministic()
-    return asked.withColumn("decision_json", run(prompt)).withColumn("decision", F.from_json("decision_json", "selected_candidate double, confidence double"))
+    return asked.withColumn("prompt", prompt).withColumn("decision_json", run("prompt")).withColumn("decision", F.from_json("decision_json", "selected_candidate double, confidence double"))
 
 
 def llm_join(left: DataFrame, right: DataFrame, algorithm: str, instruction: str = "", provider: Provider | None = None, left_limit: int | None = LEFT_LIMIT, blocking: bool = True, **sides) -> DataFrame:
@@ -173,20 +173,26 @@ def llm_join(left: DataFrame, right: DataFrame, algorithm: str, instruction: str
         raise ValueError(f"the left table has more than {left_limit} rows")
     l, r, top = candidates(left, right, spec, blocking=blocking, **sides)
     grouped = _grouped(l, r, top, spec).where(F.col("best") >= GATE)
-    shown = l.select("left_idx", _json(*(F.col(f"`{c}`") for c in spec.columns)).alias("left_row_alg_cols"))
+    left_row, right_row = _packed(l, "left"), _packed(r, "right")
+    shown = l.select(F.col(l.columns[-1]).alias("left_idx"), _json(*(F.col(f"`{c}`") for c in spec.columns)).alias("left_row_alg_cols"))
     decided = _decided(grouped.join(shown, "left_idx"), instruction, provider)
     number = F.col("decision.selected_candidate").cast("int")
     chosen = F.element_at(F.filter("candidates", lambda c: c["rank"] == number), 1)["right_idx"]
     picked = decided.select("left_idx", F.when(F.exists("candidates", lambda c: c["rank"] == number), chosen).alias("right_idx"), F.col("decision.confidence").alias("confidence"))
-    renamed_r = r.select("right_idx", *(F.col(f"`{c}`").alias(f"right_{c}") for c in right.columns))
-    out = l.join(picked, "left_idx", "left").join(renamed_r, "right_idx", "left")
-    return out.select(*(F.col(f"`{c}`").alias(f"left_{c}") for c in left.columns), *(F.col(f"right_{c}") for c in right.columns), F.coalesce("confidence", F.lit(0.0)).alias("join_confidence"))
+    out = left_row.join(picked, "left_idx", "left").join(right_row, "right_idx", "left")
+    return out.select(*(F.col("left_row")[c].alias(f"left_{c}") for c in left.columns), *(F.col("right_row")[c].alias(f"right_{c}") for c in right.columns), F.coalesce("confidence", F.lit(0.0)).alias("join_confidence"))
+
+
+def _packed(df: DataFrame, side: str) -> DataFrame:
+    """The index and the row as a struct, so that no name of the table meets another's."""
+    return df.select(F.col(df.columns[-1]).alias(f"{side}_idx"), F.struct(*(F.col(f"`{c}`") for c in df.columns[:-1])).alias(f"{side}_row"))
 
 
 def llm_join_test(left: DataFrame, right: DataFrame, algorithm: str, instruction: str = "", mode: str = "dry", n: int | None = None, seed: int | None = None, provider: Provider | None = None, **sides) -> DataFrame:
     """row_index, left_row_json, candidates_json, llm_decision_json (null in dry mode and under the gate), row_cost.
 
-    All k candidates are listed, those of score 0 too. n takes that many left rows at random (by seed, if given).
+    row_cost is the price of the row's prompt and answer by the provider's prices, 0 without a call; extrapolated_cost()
+    carries its sum on to the whole table. All k candidates are listed, those of score 0 too. n takes that many left rows at random (by seed, if given).
     """
     if mode not in ("dry", "full"):
         raise ValueError("mode must be dry or full")
@@ -194,12 +200,12 @@ def llm_join_test(left: DataFrame, right: DataFrame, algorithm: str, instruction
     if n is not None:
         left = left.orderBy(F.rand(seed)).limit(max(1, min(100, n)))
     l, r, top = candidates(left, right, spec, blocking=False, **sides)
-    rows = l.select("left_idx", _json(*(F.col(f"`{c}`") for c in left.columns)).alias("left_row_json"), _json(*(F.col(f"`{c}`") for c in spec.columns)).alias("left_row_alg_cols"))
+    rows = l.select(F.col(l.columns[-1]).alias("left_idx"), _json(*(F.col(f"`{c}`") for c in left.columns)).alias("left_row_json"), _json(*(F.col(f"`{c}`") for c in spec.columns)).alias("left_row_alg_cols"))
     grouped = rows.join(_grouped(l, r, top, spec), "left_idx", "left")
     listed = F.transform("candidates", lambda c: F.struct(c["right_row"].alias("right_row"), c["right_row_alg_cols"].alias("right_row_alg_cols"), c["score"].alias("score"), c["breakdown"].alias("breakdown")))
     if mode == "full":
-        asked = _decided(grouped.where(F.col("best") >= GATE), instruction, provider).select("left_idx", "decision_json")
-        grouped = grouped.join(asked, "left_idx", "left")
+        asked = with_usage(_decided(grouped.where(F.col("best") >= GATE), instruction, provider), "prompt", "decision_json", provider)
+        grouped = grouped.join(asked.select("left_idx", "decision_json", "cost"), "left_idx", "left")
     else:
-        grouped = grouped.withColumn("decision_json", F.lit(None).cast("string"))
-    return grouped.select(F.col("left_idx").alias("row_index"), "left_row_json", F.coalesce(F.to_json(listed), F.lit("[]")).alias("candidates_json"), F.col("decision_json").alias("llm_decision_json"), F.lit(0.0).alias("row_cost"))
+        grouped = grouped.withColumns({"decision_json": F.lit(None).cast("string"), "cost": F.lit(0.0)})
+    return grouped.select(F.col("left_idx").alias("row_index"), "left_row_json", F.coalesce(F.to_json(listed), F.lit("[]")).alias("candidates_json"), F.col("decision_json").alias("llm_decision_json"), F.coalesce("cost", F.lit(0.0)).alias("row_cost"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.plans.staging import with_position
+from tessera.plans.staging import fresh, with_position
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -33,8 +33,9 @@ def union_sources(named: dict[str, DataFrame], column: str | None = None) -> Dat
 
 def without_ordinals(df: DataFrame, order: list[str], ordinals: list[int]) -> DataFrame:
     """df without the rows at these 0-based places of the order; places that don't exist are passed over."""
-    placed = with_position(df, [F.col(c).asc_nulls_last() for c in order], "_place")
-    return placed.where(~F.col("_place").isin([int(o) for o in ordinals])).drop("_place")
+    place = fresh("_place", df.columns)
+    placed = with_position(df, [F.col(c).asc_nulls_last() for c in order], place)
+    return placed.where(~F.col(place).isin([int(o) for o in ordinals])).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def page(df: DataFrame, order: list[Column | str], number: int, size: int = 100) -> DataFrame:
@@ -44,16 +45,18 @@ def page(df: DataFrame, order: list[Column | str], number: int, size: int = 100)
 
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str, out: str) -> DataFrame:
     """left with the value of the last right row of the same key at or before its time: union and a running last value."""
-    both = left.withColumn("_side", F.lit(1)).withColumn("_value", F.lit(None).cast(right.schema[value].dataType))
-    other = right.select(*(F.col(c) if c in (key, time) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns), F.lit(0).alias("_side"), F.col(value).alias("_value"))
-    w = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.unionByName(other).withColumn(out, F.last("_value", True).over(w)).where("_side = 1").drop("_side", "_value")
+    side, seen = fresh("_side", left.columns), fresh("_value", left.columns)
+    both = left.withColumn(side, F.lit(1)).withColumn(seen, F.lit(None).cast(right.schema[value].dataType))
+    other = right.select(*(F.col(c) if c in (key, time) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns), F.lit(0).alias(side), F.col(value).alias(seen))
+    w = Window.partitionBy(key).orderBy(time, side).rowsBetween(Window.unboundedPreceding, 0)
+    return both.unionByName(other).withColumn(out, F.last(seen, True).over(w)).where(F.col(side) == 1).drop(side, seen)
 
 
 def upserted(rows: DataFrame, key: list[str], sequence: str) -> DataFrame:
     """The last row of each key by sequence."""
     rest = [c for c in rows.columns if c not in key]
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), sequence).alias("_row")).select(*key, "_row.*")
+    last = fresh("_row", rows.columns)
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), sequence).alias(last)).select(*key, f"{last}.*")
 
 
 def extrapolated_cost(test_cost: float, test_rows: int, full: DataFrame) -> float:

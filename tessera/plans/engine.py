@@ -50,6 +50,7 @@ class Engine:
         parts = sql_text.statements(text)
         warnings: list[str] = []
         last = None
+        self._made.clear()  # sources may be others by now
         if progress:
             progress.expect(len(parts))
         for part in parts:
@@ -93,13 +94,14 @@ class Engine:
             if not (made.replace or made.temporary or made.if_missing) and self.spark.catalog.tableExists(made.name):
                 raise ValueError(f"table {made.name} exists")
             materialise(self._statement(made.query, warnings), made.name, made.temporary)
+            self._made.clear()
             return self.spark.table(made.name)
         for call in sql_text.calls(text):
             text = text[: call.start] + self._view(call, warnings) + text[call.end :]
         return self.spark.sql(sql_text.translated(text))
 
     def _view(self, call: sql_text.Call, warnings: list[str]) -> str:
-        """The view of a call; a call that was made before, with all its arguments, has its view still."""
+        """The view of a call; one that the script made before, with all its arguments, keeps its view until a table is created."""
         options = self._options(call)
         key = (call.name, *call.arguments)
         if key in self._made and not options.get("force_recreate") and self.spark.catalog.tableExists(self._made[key]):

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.plans.staging import staged
+
 #: Words that a normalised column name must not be.
 RESERVED = "all and as asc between by case cast create cross desc distinct drop else end exists false for from full group having in inner insert intersect into is join left like limit not null offset on or order outer right select set table then true union unique using values when where with".split()
 
@@ -65,18 +67,10 @@ def ingest(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     return found
 
 
-def source(spark: SparkSession, text: str) -> DataFrame:
-    """A table by name if text is one word, else the rows of a query; failures become ValueError."""
-    try:
-        return spark.table(text.strip()) if re.fullmatch(r"[\w.`]+", text.strip()) else spark.sql(text)
-    except Exception as e:
-        raise ValueError(f"source can't be read: {str(e)[:300]}") from e
-
-
 def materialise(df: DataFrame, name: str, temporary: bool = True) -> str:
-    """df as a view over its persisted rows, or as a saved table."""
+    """df's rows as they are now: a view over a table in the shared folder, or a saved table."""
     if temporary:
-        df.persist().createOrReplaceTempView(name)
+        staged(df).createOrReplaceTempView(name)
     else:
         df.write.mode("overwrite").saveAsTable(name)
     return name
