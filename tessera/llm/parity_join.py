@@ -8,8 +8,8 @@ into size bands; a pair belongs to the band of its larger set. In a band the ske
 document of the band stays under, so a similar pair also shares a piece that isn't empty; only the documents with more
 empty pieces than z join on those too, which keeps the join exact.
 
-The pieces are what documents are joined on: their XOR values, told apart by a 64-bit checksum. The dense sketch, 512
-bits to a document, is the one whose Hamming distance is measured, as a filter between that join and the verification.
+The pieces are what documents are joined on: their XOR values, told apart by a 64-bit checksum. The dense sketch, a bit or
+more to a shingle, is the one whose Hamming distance is measured, as a filter between that join and the verification.
 
 Flow: (1) one pass gives each document its set's size, digest and dense sketch; equal sets fold into a class, named by
 its smallest doc_id. (2) A second pass over the classes' texts emits (piece key, class), one key for about four
@@ -37,7 +37,7 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 from tessera.llm.common import BROADCAST_IDS, by_ids, dropped, few, give_back, map_rows, text_or_empty, written
 from tessera.llm.components import components
 
-DENSE_WORDS = 8  # 64-bit words of the dense sketch
+LEAST_WORDS = 8  # 64-bit words of a dense sketch
 BAND_RATIO = 1.5
 BLOCK_KEYS = 1 << 18
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -104,17 +104,28 @@ def piece_keys(found: np.ndarray, percent: int) -> np.ndarray:
 
 
 def dense_sketch(found: np.ndarray) -> np.ndarray:
-    bit = (found >> np.uint64(8)) % np.uint64(64 * DENSE_WORDS)
-    odd = np.flatnonzero(np.bincount(bit.astype(np.int64), minlength=64 * DENSE_WORDS) & 1)
-    return np.packbits(np.isin(np.arange(64 * DENSE_WORDS), odd), bitorder="little").view(np.int64)
+    """The parity of the shingles at each bit, as 64-bit words: a power of two of them, at least a bit to a shingle.
+
+    A sketch of twice the words folds to one of half by XOR of its halves, so sketches of different sizes compare.
+    """
+    words = max(LEAST_WORDS, 1 << max(0, (len(found) - 1) // 64).bit_length())
+    bit = ((found >> np.uint64(8)) % np.uint64(64 * words)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
 
 
 def _may_link(percent: int) -> Column:
     """Whether sizes and dense sketches of the sides x and y allow a link: Hamming distance is at most the difference allowed."""
-    most = (F.col("x.n") + F.col("y.n")) * (100 - percent)
-    distance = sum((F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(1, DENSE_WORDS)), F.bit_count(F.col("x.sketch")[0].bitwiseXOR(F.col("y.sketch")[0])))
+    x, y = F.col("x.sketch"), F.col("y.sketch")
+    words = F.least(F.size(x), F.size(y))
+
+    def word(sketch: Column, k: Column) -> Column:  # sizes that allow a link differ by one folding at most
+        return F.when(F.size(sketch) > words, F.get(sketch, k).bitwiseXOR(F.get(sketch, k + words))).otherwise(F.get(sketch, k))
+
+    distance = F.aggregate(F.sequence(F.lit(0), words - 1), F.lit(0), lambda sum, k: sum + F.bit_count(word(x, k).bitwiseXOR(word(y, k))))
     sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    return sizes & (distance * (100 + percent) <= most)
+    folds = F.greatest(F.size(x), F.size(y)) > 2 * words
+    return sizes & (folds | (distance * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)))
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

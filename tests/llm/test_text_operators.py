@@ -16,7 +16,7 @@ from tessera.llm.bpe import encode_documents, model_of
 from tessera.llm.components import components
 from tessera.llm.fm_index import FMIndex
 from tessera.llm.line_crf import _forward_backward, fit, keep_accepted, score_documents, train
-from tessera.llm.parity_join import piece_keys, shingle_set, similar_documents
+from tessera.llm.parity_join import dense_sketch, piece_keys, shingle_set, similar_documents
 from tessera.llm.spotsigs import BARE, CHAIN, COMMON, PICKED, edited, fingerprint_documents, likeness, signatures, similar_pairs
 from tessera.llm.substring_dedup import cleaned, remove_repeats
 from tests.llm.fixtures import documents, pairs
@@ -305,3 +305,15 @@ def test_quality_edges(spark):
     prior = fit(docs, labels.limit(0))
     assert {r.score for r in score_documents(docs, prior).collect()} == {0.5}
     assert train(["a", "b"], [1, 1]).score(["", "x"]).tolist() == [pytest.approx(0.99)] * 2
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 2000), st.integers(0, 400), st.integers(0, 10**6))
+def test_sketches_bound_the_difference(size, changed, seed):
+    rng = np.random.default_rng(seed)
+    a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+    b = np.unique(np.concatenate((a[min(changed, len(a) - 1) :], rng.integers(0, 2**63, changed).astype(np.uint64))))
+    x, y = sorted((dense_sketch(a).view(np.uint64), dense_sketch(b).view(np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
