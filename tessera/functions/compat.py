@@ -1,26 +1,18 @@
-"""Functions of the embedded-database dialect that Spark names otherwise, as temporary SQL functions."""
+"""Functions that neither Spark has nor plans.dialect can put in its words."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
 
-#: Name, parameters, result type, Spark expression.
-FUNCTIONS = [
-    ("strip_accents", "s STRING", "STRING", "translate(s, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')"),
-    ("regexp_matches", "s STRING, p STRING", "BOOLEAN", "s rlike p"),
-    ("string_split", "s STRING, d STRING", "ARRAY<STRING>", r"split(s, concat('\\Q', d, '\\E'))"),
-    ("starts_with", "s STRING, p STRING", "BOOLEAN", "startswith(s, p)"),
-    ("strpos", "s STRING, p STRING", "INT", "locate(p, s)"),
-    ("sha256", "s STRING", "STRING", "sha2(s, 256)"),
-    ("epoch", "t TIMESTAMP", "DOUBLE", "unix_micros(t) / 1000000.0D"),
-    ("list_contains", "a ARRAY<STRING>, x STRING", "BOOLEAN", "array_contains(a, x)"),
-    ("array_to_string", "a ARRAY<STRING>, d STRING", "STRING", "array_join(a, d)"),
-    ("list_sort", "a ARRAY<STRING>", "ARRAY<STRING>", "array_sort(a)"),
-    ("json_extract_string", "j STRING, p STRING", "STRING", "get_json_object(j, p)"),
-    ("json_keys", "j STRING", "ARRAY<STRING>", "json_object_keys(j)"),
-]
+def strip_accents(texts: pd.Series) -> pd.Series:
+    """Texts without the marks of their letters, whatever the letter; nulls stay."""
+    return texts.map(lambda t: unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))), na_action="ignore")
 
 
 def register(spark: SparkSession) -> None:
-    for name, parameters, result, body in FUNCTIONS:
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
+    spark.udf.register("strip_accents", F.pandas_udf(strip_accents, "string"))

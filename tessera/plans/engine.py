@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,8 @@ from tessera.plans.progress import Progress, Task
 from tessera.sources.documents import Parser, annotated, llm_pdf_to_table, plain_pages, read_pages, require_readable
 from tessera.sources.tables import list_tables, load_csv, materialise, safe_name
 
+#: Builds the rows of a table function from the engine, the call's literals, its options and the list of warnings.
+TableFunction = Callable[["Engine", list[str], dict, list[str]], DataFrame]
 __all__ = ["DEFAULT_K", "Engine", "Result", "annotated"]
 
 
@@ -42,6 +45,7 @@ class Engine:
     def __init__(self, spark: SparkSession, provider: Provider | None = None, parser: Parser = plain_pages, readable_only: bool = True):
         self.spark, self.provider, self.parser, self.readable_only = spark, provider or OfflineProvider(), parser, readable_only
         self._made: dict[tuple, str] = {}
+        self.table_functions: dict[str, TableFunction] = {name: getattr(Engine, "_" + name) for name in ("llm_pdf_to_table", "llm_table_to_table", "llm_join", "llm_join_test")}
         llm.register(spark, self.provider)
         compat.register(spark)
 
@@ -59,6 +63,14 @@ class Engine:
                 progress.step()
         return Result(last, warnings)
 
+    def register_table_function(self, name: str, build: TableFunction) -> None:
+        """Makes build(engine, arguments, options, warnings) the rows of name(...) after FROM and JOIN; arguments are literals."""
+        self.table_functions[name.lower()] = build
+
+    def register_function(self, name: str, function) -> None:
+        """Makes a (pandas) UDF or a Python function known to SQL."""
+        self.spark.udf.register(name, function)
+
     def submit(self, text: str, kind: str = "EDITOR") -> Task:
         """The same in the background; the task can be cancelled."""
         return Task(self.spark, lambda: self.sql(text).df, kind, text)
@@ -96,7 +108,7 @@ class Engine:
             materialise(self._statement(made.query, warnings), made.name, made.temporary)
             self._made.clear()
             return self.spark.table(made.name)
-        for call in sql_text.calls(text):
+        for call in sql_text.calls(text, self.table_functions):
             text = text[: call.start] + self._view(call, warnings) + text[call.end :]
         return self.spark.sql(sql_text.translated(text))
 
@@ -106,7 +118,7 @@ class Engine:
         key = (call.name, *call.arguments)
         if key in self._made and not options.get("force_recreate") and self.spark.catalog.tableExists(self._made[key]):
             return self._made[key]
-        df = getattr(self, "_" + call.name)(call.arguments, options, warnings)
+        df = self.table_functions[call.name](self, call.arguments, options, warnings)
         name = safe_name(self.spark, call.arguments[0] if call.name == "llm_join" and len(call.arguments) == 5 else f"{call.name}_{uuid.uuid4().hex[:8]}")
         df.createOrReplaceTempView(name)
         self._made[key] = name
@@ -115,7 +127,7 @@ class Engine:
     @staticmethod
     def _options(call: sql_text.Call) -> dict:
         """The JSON object among the arguments from the third on, if there is one."""
-        for a in call.arguments[2:] if call.name in ("llm_pdf_to_table", "llm_table_to_table") else []:
+        for a in call.arguments[2:] if call.name not in ("llm_join", "llm_join_test") else []:
             if a.lstrip().startswith("{"):
                 return json.loads(a)
         return {}
@@ -141,7 +153,7 @@ class Engine:
     def _llm_join(self, a: list[str], options: dict, warnings: list[str]) -> DataFrame:
         self._count("llm_join", a, 4, 5)
         left, right, algorithm, task = a[-4:]
-        return llm_join(self._source(left, warnings), self._source(right, warnings), algorithm, task, self.provider)
+        return llm_join(self._source(left, warnings), self._source(right, warnings), algorithm, task, self.provider, check=True)
 
     def _llm_join_test(self, a: list[str], options: dict, warnings: list[str]) -> DataFrame:
         self._count("llm_join_test", a, 4, 6)
@@ -151,7 +163,7 @@ class Engine:
         words = {t.text.upper() for t in sql_text.tokens(a[0]) if t.kind == "word"}
         n = max(1, min(100, n))
         cut = left if "LIMIT" in words else left.limit(n) if "WHERE" in words else left.orderBy(F.rand()).limit(n)
-        return llm_join_test(cut, self._source(a[1], warnings), a[2], a[3], mode, provider=self.provider)
+        return llm_join_test(cut, self._source(a[1], warnings), a[2], a[3], mode, provider=self.provider, check=True)
 
     @staticmethod
     def _instruction(rest: list[str]) -> str:

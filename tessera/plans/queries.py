@@ -104,7 +104,7 @@ SELECT ak AS left_key, bk AS right_key, round(CASE WHEN length(a) + length(b) =
 @query(_LCS)
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
-    pairs = n.select(F.col("n_nationkey").alias("left_key"), F.col("n_name").alias("a")).crossJoin(F.broadcast(n.select(F.col("n_nationkey").alias("right_key"), F.col("n_name").alias("b"))))
+    pairs = n.select(F.col("n_nationkey").alias("left_key"), F.col("n_name").alias("a")).crossJoin(n.select(F.col("n_nationkey").alias("right_key"), F.col("n_name").alias("b")))
     return pairs.select("left_key", "right_key", F.round(fuzzy_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
@@ -268,9 +268,9 @@ _both("window_rank", "SELECT o_custkey, o_orderkey, CAST(rank() OVER w AS BIGINT
 _both("window_frame", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near, first_value(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS first_part FROM lineitem")
 _both("set_union", "SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer")
 _both("set_intersect", "SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer")
-_both("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+_both("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 _both("join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
-_both("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_both("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 _both("join_full_outer", "SELECT s.s_nationkey AS supplier_nation, c.c_nationkey AS customer_nation, count(*) AS n FROM supplier s FULL OUTER JOIN (SELECT * FROM customer WHERE c_nationkey < 12) c ON s.s_nationkey = c.c_nationkey GROUP BY 1, 2")
 _both("correlated_subquery", "SELECT c_custkey, c_acctbal FROM customer c WHERE c_acctbal > (SELECT avg(d.c_acctbal) FROM customer d WHERE d.c_nationkey = c.c_nationkey)")
 _both("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,9 +77,14 @@ def materialise(df: DataFrame, name: str, temporary: bool = True) -> str:
     return name
 
 
-def list_tables(spark: SparkSession) -> list[dict]:
-    """Name, columns with types, and row count of every table and view of the session."""
-    return [{"name": t.name, "columns": spark.table(t.name).dtypes, "row_count": spark.table(t.name).count()} for t in spark.catalog.listTables()]
+def list_tables(spark: SparkSession, names: list[str] | None = None) -> list[dict]:
+    """Name, columns with types, and row count of the tables and views of the session, or of those named; one job counts them all."""
+    names = [t.name for t in spark.catalog.listTables()] if names is None else names
+    if not names:
+        return []
+    counts = reduce(DataFrame.unionAll, [spark.table(n).agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n") for k, n in enumerate(names)])
+    found = {r.k: r.n for r in counts.collect()}
+    return [{"name": n, "columns": spark.table(n).dtypes, "row_count": found[k]} for k, n in enumerate(names)]
 
 
 def export_csv(df: DataFrame, path: str, single: bool = True) -> str:

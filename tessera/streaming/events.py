@@ -12,9 +12,10 @@ from tessera.functions.llm import llm_function
 from tessera.functions.providers import Provider
 
 
-def event_stream(spark: SparkSession, folder: str, schema: str = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") -> DataFrame:
-    """The Parquet files of a folder as a stream; ts becomes a session timestamp, which watermarks need."""
-    return spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, folder: str, schema: str = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string", glob: str | None = None) -> DataFrame:
+    """The Parquet files of a folder, or those that glob names, as a stream; ts becomes a session timestamp, which watermarks need."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:

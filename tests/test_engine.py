@@ -13,14 +13,17 @@ from tessera.sources.tables import export_csv, load_csv, normalised_names, safe_
 from tessera.streaming.events import event_stream, windowed_counts
 
 
+NAMES = ("llm_join", "llm_pdf_to_table")
+
+
 def test_statements_and_calls():
     assert sql_text.statements("select ';' ; -- x;\n select 2;") == ["select ';'", "-- x;\n select 2"]
-    found = sql_text.calls("SELECT * FROM llm_join('it''s', 'SELECT 1; x') JOIN llm_pdf_to_table('p', 's')")
+    found = sql_text.calls("SELECT * FROM llm_join('it''s', 'SELECT 1; x') JOIN llm_pdf_to_table('p', 's')", NAMES)
     assert [(c.name, c.arguments) for c in found] == [("llm_pdf_to_table", ["p", "s"]), ("llm_join", ["it's", "SELECT 1; x"])]
     with pytest.raises(ValueError):
-        sql_text.calls("SELECT llm_join('a', 'b')")
+        sql_text.calls("SELECT llm_join('a', 'b')", NAMES)
     with pytest.raises(ValueError):
-        sql_text.calls("SELECT * FROM llm_join(a, b)")
+        sql_text.calls("SELECT * FROM llm_join(a, b)", NAMES)
 
 
 def test_dialect(spark):
