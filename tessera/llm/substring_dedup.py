@@ -1,12 +1,14 @@
 """Removal of word windows that an earlier document holds, by FM-indexes over shards of repeated passages.
 
-(1) Each window of `window` words is named by its minimizer, the least hash among the runs of GRAM words inside it; a
-window that repeats has the same minimizer everywhere. One pass emits (minimizer, document), about one row for five
-words, and only minimizers of at least two documents go on. (2) Neighbouring windows under one such minimizer make a
-segment of at most 2 * window - GRAM words, routed to a shard by the minimizer; of equal
-segments a task sends those that tell the smallest doc_id and whether there is another. Minimizers of more than HOT occurrences (a passage of a third of all documents)
-are routed by whole windows instead, which fold completely. So what meets by one route is bounded, whatever the skew.
-(3) A task takes shards block by block, builds a compressed FM-index over the block's segments and streams the
+(1) Each window
+of `window` words is named by its minimizer, the least hash among the runs of GRAM words inside it; a window that
+repeats has the same minimizer everywhere. One pass emits (minimizer, document), about one row for five words, and only
+minimizers of at least two documents go on. Of the documents of one block (BLOCK_KEYS rows of a task) that share one, only
+a head meets other blocks, so a passage of a third of all documents costs a row per block. (2) Neighbouring windows under
+one such minimizer make a segment of at most 2 * window - GRAM words, routed to a shard by the minimizer; of equal
+segments a task sends those that tell the smallest doc_id and whether there is another. Minimizers of more than HOT
+occurrences are routed by whole windows instead, which fold completely. So what meets by one route is bounded, whatever
+the skew. (3) A task takes shards block by block, builds a compressed FM-index over the block's segments and streams the
 segments through it by backward search; the suffix interval of a window gives the smallest document that holds it. (4)
 Windows with a smaller document than their own are joined back, and the words that they cover are cut from the whole
 texts. Memory is bounded by one block and one text; texts are shuffled by doc_id twice, nothing is collected.
@@ -26,13 +28,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from tessera.llm.common import dropped, map_rows, text_or_empty, written
+from tessera.llm.common import dropped, few, give_back, map_rows, text_or_empty, written
 from tessera.llm.fm_index import FMIndex
 from tessera.llm.parity_join import mix
 
 GRAM = 5
 HOT = 4000
 BLOCK_WORDS = 1 << 17
+BLOCK_KEYS = 1 << 18
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -111,7 +114,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, text_id (xxhash64 of the text), starts: the first words of the windows that an earlier document holds."""
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("text_id", F.xxhash64("text"))
     named = texts.where("doc_id is not null")
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([(c, pa.int64()) for c in ("key", "doc_id", "head", "n", "most")])
     longest = window - min(GRAM, window) + 1
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,19 +127,39 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
                     names = minimizers(text.encode().split(), window)
                     if len(names):
                         key, count = np.unique(names[runs(names, longest)[0]], return_counts=True)
-                        held.append((key, np.full(len(key), doc_id, np.int64), count.astype(np.int32)))
+                        held.append((key, np.full(len(key), doc_id, np.int64), count))
                         filled += len(key)
-                    if filled >= 1 << 16:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=schema)
+                    if filled >= BLOCK_KEYS:
+                        yield from headed(*(np.concatenate(c) for c in zip(*held, strict=True)))
                         held, filled = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=schema)
-
-    by_key = Window.partitionBy("key")
-    seen = named.select("doc_id", "text").mapInArrow(keys, "key long, doc_id long, n int")
-    repeated = seen.withColumns({"least": F.min("doc_id").over(by_key), "most": F.max("doc_id").over(by_key), "total": F.sum("n").over(by_key)}).where("least < most")
-    repeated = written(repeated.select("doc_id", "key", (F.col("total") > HOT).alias("hot")), "minimizers")
-    per_doc = repeated.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("hot"), F.col("key"))).alias("cool"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot"))
+            yield from headed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        give_back()
+
+    def headed(key: np.ndarray, doc: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows (key, document, head, n, most): the first row of a key is its head in this block, of the smallest doc_id, with
+        the block's occurrences and largest doc_id; other documents have the head's doc_id."""
+        order = np.lexsort((doc, key))
+        key, doc, n = key[order], doc[order], n[order]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(starts, len(key)))
+        head = np.repeat(doc[starts], sizes)
+        first = np.zeros(len(key), bool)
+        first[starts] = True
+        most, total = np.repeat(doc[starts + sizes - 1], sizes), np.repeat(np.add.reduceat(n, starts), sizes)
+        whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(head, mask=first), pa.array(total), pa.array(most)], schema=schema)
+        for at in range(0, whole.num_rows, 1 << 16):
+            yield whole.slice(at, 1 << 16)
+
+    # Heads meet by key; other documents lie apart, each by itself.
+    by_key = Window.partitionBy("key", F.when(F.col("head").isNotNull(), F.col("doc_id")))
+    seen = named.select("doc_id", "text").mapInArrow(keys, "key long, doc_id long, head long, n long, most long")
+    repeated = seen.withColumns({"lowest": F.min("doc_id").over(by_key), "highest": F.max("most").over(by_key), "total": F.sum("n").over(by_key)})
+    repeated = repeated.where(F.when(F.col("head").isNull(), F.col("lowest") < F.col("highest")).otherwise(F.col("head") < F.col("most")))
+    repeated = written(repeated.select("doc_id", "key", (F.col("head").isNull() & (F.col("total") > HOT)).alias("hot")), "minimizers")
+    hot = written(repeated.where("hot").select("key").distinct().withColumn("crowded", F.lit(True)), "hot-minimizers")
+    placed = repeated.select("doc_id", "key").join(few(hot), "key", "left")
+    per_doc = placed.groupBy("doc_id").agg(F.collect_list(F.when(F.col("crowded").isNull(), F.col("key"))).alias("cool"), F.collect_list(F.when(F.col("crowded"), F.col("key"))).alias("hot"))
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
         """A row per segment; of equal ones in a task the first carries the words, and few go on to a shard:
@@ -152,7 +175,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
                     at = np.isin(names[starts], np.array(wanted, np.int64))
                     for start, length in zip(starts[at].tolist(), lengths[at].tolist(), strict=True):
                         found += [(start + k, 1, True) for k in range(length)] if single else [(start, length, False)]
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             for start, length, single in found:
                 segment = b" ".join(words[start : start + length + window - 1])
