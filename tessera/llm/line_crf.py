@@ -6,8 +6,8 @@ weights come from maximum likelihood with a quadratic penalty (gradient by forwa
 quality is the mean log-odds of its lines' forward-backward marginals, weighted by line length, put through a logistic
 curve fitted on the same training documents.
 
-The model is fitted on at most MAX_TRAINING labelled documents (those of the smallest hashes), so training is bounded
-whatever the corpus's size; scoring is one pass over whole texts without a shuffle. Features are computed on byte
+The model is fitted on at most MAX_TRAINING labelled documents (those of the smallest hashes, texts of MAX_TRAINING_BYTES
+together), so training is bounded whatever the corpus's size and its texts' lengths; scoring is one pass over whole texts without a shuffle. Features are computed on byte
 arrays; a task holds one chunk of rows.
 """
 
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import map_rows, text_or_empty
 
-MAX_TRAINING = 4000
+MAX_TRAINING, MAX_TRAINING_BYTES = 4000, 32 << 20
+MOST_MOVE = 2.0  # bound of the transition weights
 N_OWN = 16
 N_FEATURES = 3 * N_OWN + 2
 # Byte classes: 0 other, 1 lower-case or beyond ASCII, 2 upper-case, 3 digit, 4 blank, 5 sentence mark, 6 symbol, 7 vertical bar.
@@ -182,16 +183,18 @@ def train(texts: list[str], good: list[int], penalty: float = 1.0, steps: int =
     seen = rows[truth == 1].sum(axis=0)
 
     def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        w, moves = theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2)
+        w, bent = theta[:N_FEATURES], np.tanh(theta[N_FEATURES:]).reshape(2, 2)
+        moves = MOST_MOVE * bent
         flat = rows @ w
         marginals, total, moved = _forward_backward(np.split(flat, cuts), moves)
         value = total - float(flat[truth == 1].sum()) - float((seen_moves * moves).sum()) + penalty * float(theta @ theta) / 2
-        grad = np.concatenate((rows.T @ np.concatenate(marginals) - seen, (moved - seen_moves).ravel())) + penalty * theta
+        grad = np.concatenate((rows.T @ np.concatenate(marginals) - seen, ((moved - seen_moves) * MOST_MOVE * (1 - bent**2)).ravel())) + penalty * theta
         return value, grad
 
     theta = _lbfgs(loss, np.zeros(N_FEATURES + 4), steps)
-    # Labels of whole documents make staying in a label nearly certain; held moves let lines disagree.
-    model = LineCrf(theta[:N_FEATURES], np.clip(theta[N_FEATURES:].reshape(2, 2), -2, 2), (1.0, 0.0, 0.0))
+    # Labels of whole documents make staying in a label nearly certain; the bound, under which all weights are fitted,
+    # lets lines disagree.
+    model = LineCrf(theta[:N_FEATURES], MOST_MOVE * np.tanh(theta[N_FEATURES:]).reshape(2, 2), (1.0, 0.0, 0.0))
     x = np.hstack((model.evidence(texts), np.ones((len(texts), 1))))[:, [0, 2, 1]]
     y = np.array(good, np.float64)
 
@@ -246,17 +249,29 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) -> LineCrf:
+def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING, max_bytes: int = MAX_TRAINING_BYTES) -> LineCrf:
     """Trains on labelled rows that aren't held out: at most max_training of them, those of the smallest doc_id hashes.
 
-    Labels other than 0 and 1 and rows without a doc_id are passed over; a doc_id with several labels takes the smallest.
+    Labels other than 0 and 1 and rows without a doc_id are passed over; a doc_id with several labels takes the smallest,
+    one with several texts the shortest. In the order of the hashes, a text that would make the training texts longer than
+    max_bytes together is left out; texts that are used are whole.
     """
     wanted = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_training)
-    ids = docs.sparkSession.createDataFrame(wanted.collect(), "doc_id long, quality int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    found = sorted(tuple(r) for r in texts.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text").limit(2 * max_training).collect())
-    return train([t for _, _, t in found], [q for _, q, _ in found])
+    chosen = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_training).collect()
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_id", F.xxhash64("text"))
+    ids = spark.createDataFrame(chosen, "doc_id long, quality int")
+    lengths = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.octet_length("text").alias("size"), "text_id")).alias("least"))
+    least = {r.doc_id: r.least for r in lengths.collect()}
+    taken, total = [], 0
+    for doc_id, good in chosen:
+        if doc_id in least and total + least[doc_id].size <= max_bytes:
+            taken.append((doc_id, good, least[doc_id].text_id))
+            total += least[doc_id].size
+    picks = spark.createDataFrame(taken, "doc_id long, quality int, text_id long")
+    found = texts.join(F.broadcast(picks), ["doc_id", "text_id"]).groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("text").alias("text"))
+    rows = sorted(tuple(r) for r in found.collect())
+    return train([t for _, _, t in rows], [q for _, q, _ in rows])
 
 
 def score_documents(docs: DataFrame, model: LineCrf, accept: float = 0.7) -> DataFrame:

@@ -69,7 +69,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", cells
     cells = cells or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = pages.count()
     fraction = min(1.0, SAMPLE * cells / max(total, 1))
-    sample = [f"{host_key(r.host)}\0{r.path}\0{r.page_id}"[:KEY_CHARS] for r in urls.sample(fraction, seed=7).limit(2 * SAMPLE * cells).collect()]
+    sample = [f"{host_key(r.host)}\0{r.path}\0{r.page_id}"[:KEY_CHARS] for r in urls.select(*(F.substring(c, 1, KEY_CHARS).alias(c) for c in ("host", "path")), "page_id").sample(fraction, seed=7).limit(2 * SAMPLE * cells).collect()]
     sample.sort()
     bounds = sorted({sample[k * len(sample) // cells] for k in range(1, cells)}) if sample else []
     side = "cell int, key string, kind int, page_id long, host string, path string, verdict string"
