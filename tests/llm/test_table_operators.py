@@ -7,19 +7,23 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from public_tokenizers import path
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from tessera.llm import cross_polytope, mixing
 from tessera.llm.common import table_path
 from tessera.llm.cross_polytope import hadamard, nearest, search
+from tessera.llm.line_crf import fit
 from tessera.llm.mixing import described, mix, rake
 from tessera.llm.queries import MIX_POWER, MIX_SHARES, URL_RULES
 from tessera.llm.tool_links import SCHEMAS, Field, conversation_calls, levels, link_calls
 from tessera.llm.url_rules import judge_urls
 from tessera.llm.warc import archive_round_trip, parse, read_archives, record, write_archives
 from tests.llm.fixtures import documents
+from tests.llm.test_text_operators import brute_components, brute_removed
 
 SF = "/root/testdata/sf0.001"
 
@@ -356,9 +360,39 @@ def test_pipeline(spark):
     assert now.count() > 0 and {r.n_tokens == len(r.token_ids) for r in now.collect()} == {True}
 
 
-def test_pipeline_stages_on_odd_rows(spark):
+def test_pipeline_stages_against_plain_python(spark):
+    """Each stage on its own input: which rows stay and what their texts are."""
     docs = documents(spark).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    rows = [tuple(r) for r in docs.collect()]
+    stages = dict(corpus_pipeline.STAGES)
+
+    def kept(name, given):
+        return sorted(map(tuple, stages[name](spark, given, SF).collect()), key=str)
+
+    model = fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    accepted = [r for r, s in zip(rows, model.score([r[1] or "" for r in rows]), strict=True) if s >= 0.7]
+    assert kept("quality classifier", docs) == sorted(accepted, key=str)
+
+    smallest = {d: c for d, _, c in brute_components([(r[0], r[1] or "") for r in rows], 5, 80)}
+    assert kept("n-gram Jaccard join", docs) == sorted((r for r in rows if r[0] is None or smallest[r[0]] == r[0]), key=str)
+
+    cut = kept("substring dedup", docs)
+    digests = sorted(((d, k) for d, _, _, k in brute_removed([(r[0], r[1] or "") for r in rows])), key=str)
+    assert sorted(((r[0], hashlib.sha256(b" ".join((r[1] or "").encode().split())).hexdigest()) for r in cut), key=str) == digests
+    assert all(r[4] == (None if r[1] is None else len(r[1])) for r in cut)
+
+    times = {r.doc_id: r.copies for r in mix(docs, MIX_SHARES, MIX_POWER, others=True).collect()}
+    assert Counter(kept("mixing sources to target weights", docs)) == Counter({r: n for r, m in Counter(rows).items() if (n := m * (1 if r[0] is None else times[r[0]]))})
+
+    library = Tokenizer.from_file(path("word_bpe_49k.json"))
+    want = [(r[0], library.encode(r[1] or "", add_special_tokens=False).ids) for r in rows]
+    got = stages["BPE encoding and decoding"](spark, docs, SF).collect()
+    assert sorted(((r.doc_id, r.token_ids) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    docs = documents(spark).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), "starts", "key", "n", "rep", "component_id")
+    for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
-        assert 0 < out.count() <= docs.count()
+        assert 0 < out.count() and (name.startswith("BPE") or out.columns == docs.columns)
         assert stage(spark, docs.limit(0), SF).count() == 0

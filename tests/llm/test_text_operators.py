@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from xxhash import xxh3_64_intdigest
 
-from tessera.llm import substring_dedup
+from tessera.llm import parity_join, substring_dedup
 from tessera.llm.bpe import encode_documents, model_of
 from tessera.llm.components import components
 from tessera.llm.fm_index import FMIndex
@@ -87,8 +87,9 @@ def brute_components(rows, n, percent):
     return sorted(((d, len(s), None if d is None else find(d)) for d, s in sets.values()), key=str)
 
 
-@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (1, 50)])
-def test_similar_documents(spark, n, percent):
+@pytest.mark.parametrize(("n", "percent", "block"), [(4, 85, 1 << 18), (5, 80, 50), (1, 50, 1)])
+def test_similar_documents(spark, monkeypatch, n, percent, block):
+    monkeypatch.setattr(parity_join, "BLOCK_KEYS", block)
     docs = documents(spark, 80)
     got = similar_documents(docs, n, percent).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute_components(pairs(docs), n, percent)
@@ -156,6 +157,7 @@ def brute_removed(rows, window=13):
 def test_remove_repeats(spark, monkeypatch, hot, block):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", block)
+    monkeypatch.setattr(substring_dedup, "BLOCK_KEYS", block)
     docs = documents(spark)
     want = brute_removed(pairs(docs))
     assert sorted(map(tuple, remove_repeats(docs).collect()), key=str) == want
