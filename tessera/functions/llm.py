@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,10 @@ def cached_answers(prompts: DataFrame, prompt: str, path: str, provider: Provide
     keyed = prompts.withColumn("prompt_key", key)
     try:
         known = spark.read.schema("prompt_key string, answer string").parquet(path)
-    except Exception:  # noqa: BLE001  no cache yet
+        known.limit(0).collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise  # a cache that can't be read is an error, not an empty one
         known = spark.createDataFrame([], "prompt_key string, answer string")
     missing = keyed.where(F.col(prompt).isNotNull()).select("prompt_key", prompt).dropDuplicates(["prompt_key"]).join(known, "prompt_key", "left_anti")
     missing.select("prompt_key", llm_function(provider)(F.col(prompt)).alias("answer")).where("answer is not null").write.mode("append").parquet(path)

@@ -10,10 +10,14 @@ import hashlib
 import json
 import os
 import re
+import time
 import urllib.request
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame, SparkSession
+
 CHARS_PER_TOKEN = 4
 
 
@@ -162,27 +166,96 @@ class HttpProvider(Provider):
         return json.loads(self._ask(prompt, {"response_format": {"type": "json_schema", "json_schema": schema}}, images))
 
 
+def _write(folder: str, name: str, value: object) -> None:
+    """value as the JSON file name of folder, whole or not at all: written beside it and moved."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(folder)
+    path = f"{base}/{name}.json"
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with system.open_output_stream(part) as out:
+        out.write(json.dumps(value).encode())
+    system.move(part, path)
+
+
+def _read(folder: str, name: str) -> object | None:
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(folder)
+    path = f"{base}/{name}.json"
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    with system.open_input_stream(path) as source:
+        return json.loads(source.read())
+
+
 @dataclass(frozen=True)
 class RecordingProvider(Provider):
-    """Replays answers by key and asks the inner provider for the others; mode only raises on a miss if `strict`."""
+    """Answers of inner, kept as one file per call in a folder that driver and executors share (a URI).
+
+    mode: replay asks inner for what isn't kept yet and keeps it; record asks anew and keeps; only raises KeyError for
+    what isn't kept. A call is known by its provider, model, whole prompt, schema and images.
+    """
 
     inner: Provider = field(default_factory=OfflineProvider)
-    known: dict = field(default_factory=dict)
-    strict: bool = False
+    folder: str = ""
+    mode: str = "replay"
 
-    def key(self, prompt: str, schema: dict | None = None) -> str:
-        whole = json.dumps([type(self.inner).__name__, self.inner.model, prompt, schema], sort_keys=True)
+    def __post_init__(self) -> None:
+        if self.mode not in ("replay", "record", "only"):
+            raise ValueError(f"mode {self.mode!r} is none of replay, record, only")
+
+    def key(self, prompt: str, schema: dict | None = None, images: tuple[bytes, ...] = ()) -> str:
+        whole = json.dumps([type(self.inner).__name__, self.inner.model, prompt, schema, [hashlib.sha256(i).hexdigest() for i in images]], sort_keys=True)
         return hashlib.sha256(whole.encode()).hexdigest()
 
     def _recall(self, key: str, ask: Callable[[], object]) -> object:
-        if key not in self.known:
-            if self.strict:
+        name = f"{key[:2]}/{key}"
+        kept = None if self.mode == "record" else _read(self.folder, name)
+        if kept is None:
+            if self.mode == "only":
                 raise KeyError("no recorded answer for this call")
-            self.known[key] = ask()
-        return self.known[key]
+            kept = {"answer": ask()}
+            _write(self.folder, name, kept)
+        return kept["answer"]
 
     def text(self, prompt: str, images: tuple[bytes, ...] = ()) -> str:
-        return self._recall(self.key(prompt), lambda: self.inner.text(prompt, images))
+        return self._recall(self.key(prompt, None, images), lambda: self.inner.text(prompt, images))
 
     def structured(self, prompt: str, schema: dict, images: tuple[bytes, ...] = ()) -> dict:
-        return self._recall(self.key(prompt, schema), lambda: self.inner.structured(prompt, schema, images))
+        return self._recall(self.key(prompt, schema, images), lambda: self.inner.structured(prompt, schema, images))
+
+
+@dataclass(frozen=True)
+class LoggingProvider(Provider):
+    """inner, with every call and its outcome as a file of its own in a shared folder: interactions() reads them."""
+
+    inner: Provider = field(default_factory=OfflineProvider)
+    folder: str = ""
+
+    def _logged(self, kind: str, prompt: str, ask: Callable[[], object]) -> object:
+        began, answer, error = time.time(), None, None
+        try:
+            answer = ask()
+            return answer
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+            raise
+        finally:
+            said = "" if answer is None else answer if isinstance(answer, str) else json.dumps(answer)
+            used = self.inner.usage(prompt, said)
+            entry = {"time": began, "seconds": time.time() - began, "model": self.inner.model, "kind": kind, "prompt": prompt, "answer": said, "error": error}
+            _write(self.folder, uuid.uuid4().hex, entry | {"input_tokens": used.input_tokens, "output_tokens": used.output_tokens, "cost": used.cost})
+
+    def text(self, prompt: str, images: tuple[bytes, ...] = ()) -> str:
+        return self._logged("text", prompt, lambda: self.inner.text(prompt, images))
+
+    def structured(self, prompt: str, schema: dict, images: tuple[bytes, ...] = ()) -> dict:
+        return self._logged("structured", prompt, lambda: self.inner.structured(prompt, schema, images))
+
+
+def interactions(spark: SparkSession, folder: str) -> DataFrame:
+    """The calls that a LoggingProvider noted, one row each; their sums are a query's usage."""
+    kinds = "time double, seconds double, model string, kind string, prompt string, answer string, error string, input_tokens long, output_tokens long, cost double"
+    return spark.read.schema(kinds).option("pathGlobFilter", "*.json").json(folder)

@@ -1,8 +1,9 @@
 """The smart join: scored candidates, top k per left row, a model's choice, left-outer output.
 
 Scores are columns over candidate pairs: per criterion a similarity in [0, 1], combined as the product of powers. With an
-exact criterion pairs meet in an equi-join on it (a pair that differs there scores 0); without one, every left row meets
-every right row: the right side's features are broadcast if their size is under BROADCAST_BYTES, else Spark multiplies
+exact criterion pairs meet in an equi-join on it (a pair that differs there scores 0). A numeric or rank criterion that
+stands alone needs only the right rows around a left row's place in sorted order. Otherwise every left row meets every
+right row: the right side's features are broadcast if their size is under BROADCAST_BYTES, else Spark multiplies
 partitions. Payload columns stay out of the pairs and are joined back after the top k. Numeric distance takes its
 largest distance from the extremes of each side and rank similarity its ranks from sorted positions, so neither needs
 the pairs. The left side is limited to LEFT_LIMIT rows, as every left row may cost a model call.
@@ -98,7 +99,13 @@ def candidates(left: DataFrame, right: DataFrame, algorithm: str | Algorithm, em
     for i in spans:
         ends = lf.agg(F.min(f"l{i}").alias(f"lmin{i}"), F.max(f"l{i}").alias(f"lmax{i}")).crossJoin(rf.agg(F.min(f"r{i}").alias(f"rmin{i}"), F.max(f"r{i}").alias(f"rmax{i}")))
         lf = lf.crossJoin(F.broadcast(ends))  # one row
-    if equal and blocking:
+    single = algorithm.criteria[0] if len(algorithm.criteria) == 1 and algorithm.criteria[0].weight > 0 else None
+    if single and single.mechanism == "numeric_distance":
+        pairs = _nearest_values(lf, rf, algorithm.k, n_right)
+    elif single and ranks_l:
+        around = F.explode(F.sequence(F.col("lrank0") - algorithm.k, F.col("lrank0") + algorithm.k))
+        pairs = lf.withColumn("near", around).join(rf, F.col("near") == F.col("rrank0")).drop("near")
+    elif equal and blocking:
         on = equal[0]
         for e in equal[1:]:
             on = on & e
@@ -117,6 +124,19 @@ def candidates(left: DataFrame, right: DataFrame, algorithm: str | Algorithm, em
     return left, right, top.select("left_idx", "right_idx", "rank", "score", *(f"part_{i}" for i in range(len(scores))))
 
 
+def _nearest_values(lf: DataFrame, rf: DataFrame, k: int, n_right: int) -> DataFrame:
+    """Each left row with the k right rows below its value and the k from it on: among them are its k nearest.
+
+    Right rows are numbered by value twice, so that of equal values those of the larger index come nearest on both sides;
+    left rows then join the numbers around their own place.
+    """
+    lf, below = _ranked(lf, rf, 0, False, n_right)
+    above = with_position(rf, [F.col("r0"), F.desc("right_idx")], "rrank0")
+    sides = [(below, F.col("lrank0") - k, F.col("lrank0") - 1), (above, F.col("lrank0"), F.col("lrank0") + k - 1)]
+    parts = [lf.withColumn("near", F.explode(F.sequence(a, z))).join(side, F.col("near") == F.col("rrank0")).select(*lf.columns, *rf.columns) for side, a, z in sides]
+    return parts[0].unionByName(parts[1])
+
+
 def _ranked(lf: DataFrame, rf: DataFrame, i: int, falling: bool, n_right: int) -> tuple[DataFrame, DataFrame]:
     """Adds lrank{i}, the number of smaller right values, and rrank{i}, the place among right values (from the top if falling)."""
     right = with_position(rf, [F.col(f"r{i}"), F.col("right_idx")], "place")

@@ -75,9 +75,13 @@ def annotated(pages: DataFrame, start: int | None = None, end: int | None = None
 
 
 def markdown_table(rows: list[dict], columns: list[str]) -> str:
-    """A Markdown table with the 0-based row number first."""
-    lines = ["| |" + "|".join(columns) + "|", "|" + "---|" * (len(columns) + 1)]
-    lines += [f"|{k}|" + "|".join("" if r.get(c) is None else str(r[c]) for c in columns) + "|" for k, r in enumerate(rows)]
+    """A Markdown table with the 0-based row number first; bars in cells are escaped, line ends become <br>."""
+
+    def cell(value: object) -> str:
+        return "" if value is None else "<br>".join(str(value).replace("|", "\\|").splitlines())
+
+    lines = ["| |" + "|".join(map(cell, columns)) + "|", "|" + "---|" * (len(columns) + 1)]
+    lines += [f"|{k}|" + "|".join(cell(r.get(c)) for c in columns) + "|" for k, r in enumerate(rows)]
     return "\n".join(lines)
 
 

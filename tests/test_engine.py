@@ -8,7 +8,7 @@ from tessera.functions.schema import parse_schema
 from tessera.plans import sql_text
 from tessera.plans.engine import Engine
 from tessera.plans.progress import Progress
-from tessera.sources.documents import UnreadableDocument, annotated, llm_pdf_to_table, readability, require_readable
+from tessera.sources.documents import UnreadableDocument, annotated, llm_pdf_to_table, markdown_table, readability, require_readable
 from tessera.sources.tables import export_csv, load_csv, normalised_names, safe_name
 from tessera.streaming.events import event_stream, windowed_counts
 
@@ -127,3 +127,22 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.table("stream_counts").collect()) == [10, 10, 10]
+
+
+def test_markdown_table():
+    assert markdown_table([{"a": "x|y", "b": "1\n2"}, {"a": None}], ["a", "b"]).splitlines() == ["| |a|b|", "|---|---|---|", "|0|x\\|y|1<br>2|", "|1|||"]
+
+
+def test_own_functions(spark):
+    engine = Engine(spark)
+    engine.register_table_function("numbered", lambda e, arguments, options, warnings: e.spark.range(int(arguments[0])).toDF("n"))
+    engine.register_function("doubled", F.udf(lambda x: x * 2, "long"))
+    assert [r.m for r in engine.sql("SELECT doubled(n) AS m FROM numbered(3) ORDER BY 1").df.collect()] == [0, 2, 4]
+    assert "numbered" not in Engine(spark).table_functions
+
+
+def test_criteria_are_checked_through_sql(spark):
+    engine = Engine(spark)
+    spark.createDataFrame([(1, "a")], "k int, name string").createOrReplaceTempView("checked")
+    with pytest.raises(ValueError, match="doesn't fit"):
+        engine.sql("SELECT * FROM llm_join('checked', 'checked', '1: name numeric_distance', '')")

@@ -1,13 +1,19 @@
 import json
+import random
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tessera.functions.providers import OfflineProvider, RecordingProvider
+from tessera.functions.llm import llm
+from tessera.functions.providers import HttpProvider, LoggingProvider, OfflineProvider, RecordingProvider, interactions
 from tessera.functions.similarity import indel_ratio
 from tessera.operators.algorithm import parse_algorithm
 from tessera.operators.smart_join import candidates, llm_join, llm_join_test
+from tessera.operators.tables import extrapolated_cost
 
 
 def test_algorithm():
@@ -108,9 +114,82 @@ def test_algorithm_check(spark):
         candidates(one, one, "2: missing exact_match")
 
 
-def test_recording():
-    r = RecordingProvider()
-    first = r.text("hello")
-    assert RecordingProvider(known=r.known, strict=True).text("hello") == first
+def test_recorded_answers_outlive_their_workers(spark, tmp_path):
+    folder = f"file://{tmp_path}/answers"
+    rows = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "p string").repartition(3)
+    first = {r.p: r.x for r in rows.select("p", llm(F.col("p"), RecordingProvider(folder=folder)).alias("x")).collect()}
+    assert len(list(tmp_path.glob("answers/*/*.json"))) == 2
+    again = rows.select("p", llm(F.col("p"), RecordingProvider(inner=OfflineProvider(labels=("other",)), folder=folder, mode="only")).alias("x")).collect()
+    assert {r.p: r.x for r in again} == first  # what was kept is replayed, whatever the provider would say now
     with pytest.raises(KeyError):
-        RecordingProvider(strict=True).text("hello")
+        RecordingProvider(folder=folder, mode="only").text("c")
+    assert RecordingProvider(inner=OfflineProvider(labels=("other",)), folder=folder, mode="record").text("a") == "other"
+    assert RecordingProvider(folder=folder).text("a") == "other"
+    key = RecordingProvider(folder=folder).key
+    assert len({key("a"), key("a", {}), key("a", None, (b"x",)), key("b")}) == 4
+    with pytest.raises(ValueError):
+        RecordingProvider(mode="sometimes")
+
+
+def test_interaction_log(spark, tmp_path):
+    provider = LoggingProvider(inner=OfflineProvider(input_price=1e-6, output_price=2e-6), folder=f"file://{tmp_path}/log")
+    spark.createDataFrame([("one prompt",), ("another",)], "p string").select(llm(F.col("p"), provider)).collect()
+    with pytest.raises(Exception):
+        provider.structured("no JSON", {})
+    found = {r.prompt: r for r in interactions(spark, f"file://{tmp_path}/log").collect()}
+    assert set(found) == {"one prompt", "another", "no JSON"} and found["no JSON"].error
+    assert found["one prompt"].input_tokens == 3 and found["one prompt"].cost == pytest.approx(3e-6 + found["one prompt"].output_tokens * 2e-6)
+
+
+def test_http_provider(monkeypatch):
+    seen = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.headers["Authorization"], asked))
+            answer = json.dumps({"n": 1}) if "response_format" in asked else "fine"
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": answer}}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("LLM_API_KEY", "secret")
+    provider = HttpProvider("m", token_limit=5, url=f"http://127.0.0.1:{server.server_port}/v1")
+    assert provider.text("x" * 100, (b"png",)) == "fine" and provider.structured("short", {"name": "s"}) == {"n": 1}
+    with pytest.raises(ValueError, match="token limit"):
+        provider.structured("x" * 100, {})
+    server.shutdown()
+    (key, first), (_, second) = seen
+    assert key == "Bearer secret" and first["model"] == "m" and second["response_format"]["json_schema"] == {"name": "s"}
+    text, image = first["messages"][1]["content"]
+    assert len(text["text"]) == 20 and image["image_url"]["url"].startswith("data:image/png;base64,")
+
+
+def test_cost_of_a_join_test(spark):
+    left = spark.createDataFrame([(k, float(k)) for k in range(4)], "k long, v double")
+    provider = OfflineProvider(input_price=1e-3, output_price=1e-2)
+    rows = llm_join_test(left, left, "2: v numeric_distance", "which", "full", provider=provider, left_key="k", right_key="k").collect()
+    assert all(r.row_cost > 0.05 for r in rows)
+    dry = llm_join_test(left, left, "2: v numeric_distance", "which", "dry", provider=provider, left_key="k", right_key="k").collect()
+    assert {r.row_cost for r in dry} == {0.0}
+    cost = sum(r.row_cost for r in rows)
+    assert extrapolated_cost(cost, len(rows), left.union(left)) == pytest.approx(2 * cost) and extrapolated_cost(1.0, 0, left) == 0.0
+
+
+@pytest.mark.parametrize("mechanism", ["numeric_distance", "numeric_distance 2.5", "arithmetic_asc", "arithmetic_desc"])
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_neighbours_in_order_are_all_pairs_best(spark, mechanism, k):
+    """Ties everywhere: the sorted neighbours give what all pairs give."""
+    rng = random.Random(5)
+    left = spark.createDataFrame([(i, rng.choice([None, float(rng.randrange(6))])) for i in range(15)], "k long, v double")
+    right = spark.createDataFrame([(i, rng.choice([None, float(rng.randrange(8)) - 1])) for i in range(25)], "k long, v double")
+    one = candidates(left, right, f"{k}: v {mechanism}", left_key="k", right_key="k")[2]
+    # A second criterion that is 1 for every pair leaves the scores and takes the way of all pairs.
+    with_one = [df.withColumn("c", F.lit("x")) for df in (left, right)]
+    two = candidates(*with_one, f"{k}: v {mechanism if mechanism[-1].isdigit() else mechanism + ' 1'}, c exact_match 1", left_key="k", right_key="k")[2]
+    assert sorted((r.left_idx, r.right_idx, r["rank"], round(r.score, 12)) for r in one.collect()) == sorted((r.left_idx, r.right_idx, r["rank"], round(r.score, 12)) for r in two.collect())
