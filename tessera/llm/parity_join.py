@@ -114,8 +114,28 @@ def dense_sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def folded_sketch(sketch: np.ndarray) -> np.ndarray:
+    """A dense sketch folded to LEAST_WORDS words."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, LEAST_WORDS), axis=0)
+
+
+def _sizes_allow(percent: int) -> Column:
+    return F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+
+
+def _near(distance: Column, percent: int) -> Column:
+    """Whether a link allows this Hamming distance: it is at most the difference of the sets."""
+    return distance * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+
+
 def _may_link(percent: int) -> Column:
-    """Whether sizes and dense sketches of the sides x and y allow a link: Hamming distance is at most the difference allowed."""
+    """Whether sizes and folded sketches of the sides x and y allow a link."""
+    distance = sum((F.bit_count(F.col("x.folded")[k].bitwiseXOR(F.col("y.folded")[k])) for k in range(1, LEAST_WORDS)), F.bit_count(F.col("x.folded")[0].bitwiseXOR(F.col("y.folded")[0])))
+    return _sizes_allow(percent) & _near(distance, percent)
+
+
+def _may_link_whole(percent: int) -> Column:
+    """Whether the whole dense sketches of x and y allow a link."""
     x, y = F.col("x.sketch"), F.col("y.sketch")
     words = F.least(F.size(x), F.size(y))
 
@@ -123,9 +143,7 @@ def _may_link(percent: int) -> Column:
         return F.when(F.size(sketch) > words, F.get(sketch, k).bitwiseXOR(F.get(sketch, k + words))).otherwise(F.get(sketch, k))
 
     distance = F.aggregate(F.sequence(F.lit(0), words - 1), F.lit(0), lambda sum, k: sum + F.bit_count(word(x, k).bitwiseXOR(word(y, k))))
-    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    folds = F.greatest(F.size(x), F.size(y)) > 2 * words
-    return sizes & (folds | (distance * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)))
+    return (F.greatest(F.size(x), F.size(y)) > 2 * words) | _near(distance, percent)
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -141,15 +159,16 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
     def describe(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
             found = shingle_set(text, shingle)
-            yield doc_id, len(found), xxh3_128_digest(found.tobytes()), dense_sketch(found)
+            sketch = dense_sketch(found)
+            yield doc_id, len(found), xxh3_128_digest(found.tobytes()), sketch, folded_sketch(sketch)
 
-    about = written(map_rows(texts, describe, "doc_id long, n long, set_id binary, sketch array<long>"), "sets")
+    about = written(map_rows(texts, describe, "doc_id long, n long, set_id binary, sketch array<long>, folded array<long>"), "sets")
     repeated = about.where("doc_id is not null and n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")).where("rep < most").select("set_id", "rep")
     repeated = written(repeated, "repeated-sets")
-    folded = about.join(few(repeated), "set_id", "left").select("doc_id", "n", "sketch", F.coalesce("rep", "doc_id").alias("rep"))
+    folded = about.join(few(repeated), "set_id", "left").select("doc_id", "n", "sketch", "folded", F.coalesce("rep", "doc_id").alias("rep"))
     folded = written(folded, "folded")
     linkable = folded.where("doc_id is not null and n > 0")
-    reps = linkable.where("doc_id = rep").select("doc_id", "n", "sketch")
+    reps = linkable.where("doc_id = rep").select("doc_id", "n", "sketch", "folded")
     # A doc_id that stands for a class by one of its texts keeps them all.
     copies = linkable.where("doc_id <> rep").select("doc_id").join(reps.select("doc_id"), "doc_id", "left_anti").distinct()
     copies = written(copies, "copies")
@@ -203,9 +222,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
     grouped = written(buckets.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "grouped")
     dropped(buckets)
     several = grouped.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-    sided = written(grouped.join(written(several, "several"), "key", "left_semi").distinct().join(reps, F.col("rep") == F.col("doc_id")).select("key", "rep", "component", "n", "sketch"), "sided")
+    sided = written(grouped.join(written(several, "several"), "key", "left_semi").distinct().join(reps, F.col("rep") == F.col("doc_id")).select("key", "rep", "component", "n", "folded"), "sided")
     rest = sided.alias("x").join(sided.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _may_link(percent))
-    more = _verified(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), texts, shingle, percent, "more-links")
+    rest = written(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "rest")
+    more = _verified(_filtered(rest, reps, percent), texts, shingle, percent, "more-links")
 
     member = linkable.select("doc_id", "rep").distinct()
     # A doc_id of several texts ties their classes together.
@@ -225,7 +245,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
 def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     x, y = reps.alias("x"), reps.alias("y")
     both = pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id"))
-    return both.where(_may_link(percent)).select("a", "b").distinct()
+    return both.where(_may_link(percent) & _may_link_whole(percent)).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
