@@ -16,8 +16,10 @@ its smallest doc_id. (2) A second pass over the classes' texts emits (piece key,
 shingles. Of the classes of one block (BLOCK_KEYS keys of a task) that share a key only the smallest, the key's head
 there, meets those of other blocks; so a key that a third of all documents share costs a row per block. (3) Every class
 is paired with its head, and every head with the key's smallest; pairs pass the Hamming filter and are verified on whole
-sets, in the JVM. (4) Verified links form components; only keys that still hold several components are joined pair by
-pair, across components and through the same filter, and verified. No bucket is ever collected, and no pairs are made
+sets, in the JVM. (4) Verified links form components. PIVOT_ROUNDS times every key that still holds several components
+pairs its classes with one drawn by a hash, another for each key, which ties most groups of loosely alike texts together;
+what then still holds several components is joined pair by pair, across components and through the same filter, and
+verified. No bucket is ever collected, and no pairs are made
 inside a group that is already one component. Step (4) is quadratic in the number of components that share one piece,
 that is some hashed shingles and no other in that slice: unlinked texts rarely do.
 """
@@ -39,7 +41,7 @@ from tessera.llm.components import components
 
 LEAST_WORDS = 8  # 64-bit words of a dense sketch
 BAND_RATIO = 1.5
-BLOCK_KEYS = 1 << 18
+BLOCK_KEYS, PIVOT_ROUNDS = 1 << 18, 2
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -219,10 +221,26 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
     links = _verified(_filtered(near, reps, percent), texts, shingle, percent, "links")
     label = written(components(links), "labels")
 
-    grouped = written(buckets.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "grouped")
+    def mixed() -> DataFrame:
+        """key, rep, component of the keys that still hold several components."""
+        placed = written(buckets.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component")).distinct(), "grouped")
+        several = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+        return written(placed.join(several, "key", "left_semi"), "mixed")
+
+    def joined(found: DataFrame) -> DataFrame:
+        return written(components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).union(found)), "labels")
+
+    for turn in range(PIVOT_ROUNDS):
+        left = mixed()
+        drawn = left.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "rep").alias("at"), F.col("rep").alias("pivot"), F.col("component").alias("its"))).alias("p")).select("key", "p.pivot", "p.its")
+        tried = left.join(written(drawn, "pivots"), "key").where("component <> its").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        found = _verified(_filtered(tried, reps, percent), texts, shingle, percent, "links")
+        if found.isEmpty():
+            break
+        label = joined(found)
+
+    sided = written(mixed().join(reps, F.col("rep") == F.col("doc_id")).select("key", "rep", "component", "n", "folded"), "sided")
     dropped(buckets)
-    several = grouped.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-    sided = written(grouped.join(written(several, "several"), "key", "left_semi").distinct().join(reps, F.col("rep") == F.col("doc_id")).select("key", "rep", "component", "n", "folded"), "sided")
     rest = sided.alias("x").join(sided.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _may_link(percent))
     rest = written(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "rest")
     more = _verified(_filtered(rest, reps, percent), texts, shingle, percent, "more-links")
@@ -233,11 +251,11 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
     tied = written(member.join(tied, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "ties")
     again = written(more.union(tied), "more")
     if not again.isEmpty():
-        label = written(components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).union(again)), "labels")
+        label = joined(again)
     known = member.join(label, F.col("rep") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = folded.select("doc_id", F.col("n").alias("n_shingles")).join(known, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = written(out, "similar")
-    for old in (about, repeated, folded, copies, links, grouped, sided, more):
+    for old in (about, repeated, folded, copies, links, sided, more):
         dropped(old)
     return out
 
