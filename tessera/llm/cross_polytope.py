@@ -434,13 +434,10 @@ def _entries(vectors: DataFrame, keep: int) -> DataFrame:
     salted = Window.partitionBy("embedding", F.pmod(F.xxhash64("vec_id"), F.lit(16))).orderBy("vec_id")
     least = rows.withColumn("place", F.row_number().over(salted)).where(F.col("place") <= keep)
     entry = least.groupBy("embedding").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, keep).alias("ids"))
-    return entry.withColumn("length_class", F.floor(F.log(_length()) / log(BAND) + 0.5).cast("int"))
-
-
-def _length() -> Column:
-    """The vector's length, without overflow of its squares."""
-    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
-    return largest * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + (x / largest) * (x / largest)))
+    # The largest component is a column of its own, computed once a row; dividing by it keeps squares from overflowing.
+    entry = entry.withColumn("largest", F.array_max(F.transform("embedding", lambda x: F.abs(x))))
+    length = F.col("largest") * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + (x / F.col("largest")) * (x / F.col("largest"))))
+    return entry.withColumn("length_class", F.floor(F.log(length) / log(BAND) + 0.5).cast("int")).drop("largest")
 
 
 def _class() -> Column:
