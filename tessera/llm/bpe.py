@@ -6,9 +6,9 @@ last token of the remaining prefix without any merge firing across their border.
 lists the tokens that end at each position (the suffixes of the prefix that are tokens), the pair test picks the one,
 and back-pointers from the end give the ids. No merge queue is run.
 
-Words are cached within a task, as natural text repeats them: at most CACHE_WORDS and none of more than CACHE_CHARS
-characters; a full cache is emptied, which changes speed only, and no task leaves one behind. Memory is bounded by that
-cache, the vocabulary and one text, whatever its words' lengths.
+Words are cached per Python worker, as natural text repeats them: at most CACHE_WORDS and none of more than CACHE_CHARS
+characters, some 150 MB; a full cache is emptied, which changes speed only. Memory is bounded by that cache, the
+vocabulary and one text, whatever its words' lengths.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import map_rows, text_or_empty
 
-CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS = 100_000, 400_000, 64
+CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS = 200_000, 400_000, 64
 _END = "\n"  # the end-of-word mark inside the automaton; byte-level symbols never hold it
 #: Fixed value: the tokenizer's pattern for pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -172,9 +173,10 @@ class WordBpe:
         text = text.lower()
         return self._chunks(text) if self._separators(text) else text.split()
 
-    def encode_chunk(self, chunk: str) -> str:
+    def encode_chunk(self, chunk: str) -> tuple[str, tuple[int, ...]]:
         if chunk[0] == " ":
-            return str(self.special[chunk[1:]])
+            special = self.special[chunk[1:]]
+            return str(special), (special,)
         known, ids = self._word_cache, []
         if len(known) > CACHE_WORDS:
             known.clear()
@@ -186,7 +188,7 @@ class WordBpe:
                 if len(word) <= CACHE_CHARS:
                     known[word] = found
             ids += found
-        return " ".join(map(str, ids))
+        return " ".join(map(str, ids)), tuple(ids)
 
     def _newer_words(self, chunk: str) -> list[str]:
         """Pre-tokens of a chunk with characters that this Python's Unicode tables lack: by the tables of the tokenizers library."""
@@ -195,16 +197,12 @@ class WordBpe:
         chunk = normalizers.Lowercase().normalize_str(chunk)
         return [w for w, _ in pre_tokenizers.Split(Regex(PATTERN), "removed", invert=True).pre_tokenize_str(chunk)]
 
-    def encode_text(self, text: str) -> str:
-        """Decimal ids, joined by one space."""
+    def encode_text(self, text: str) -> tuple[str, list[int]]:
+        """The ids in decimal, joined by one space, and as numbers."""
         if len(self._cache) > CACHE_WORDS:
             self._cache.clear()
-        return " ".join(filter(None, map(self._cache.__getitem__, self.chunks(text))))
-
-    def forget(self) -> None:
-        """Empties the caches."""
-        for cache in (self._cache, self._word_cache, self._beside):
-            cache.clear()
+        found = list(map(self._cache.__getitem__, self.chunks(text)))
+        return " ".join([f[0] for f in found if f[0]]), list(chain.from_iterable([f[1] for f in found]))
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False) without a decoder: token texts joined by one space; unknown ids are left out."""
@@ -212,12 +210,12 @@ class WordBpe:
 
 
 class _Chunks(dict):
-    """Chunk to its ids; a missing one is encoded and, unless it is long, stored."""
+    """Chunk to its ids, in decimal and as numbers; a missing one is encoded and, unless it is long, stored."""
 
     def __init__(self, model: WordBpe):
         self.model = model
 
-    def __missing__(self, chunk: str) -> str:
+    def __missing__(self, chunk: str) -> tuple[str, tuple[int, ...]]:
         found = self.model.encode_chunk(chunk)
         if len(chunk) <= CACHE_CHARS:
             self[chunk] = found
@@ -240,12 +238,10 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         model = model_of(path)
         for doc_id, text in rows:
-            ids = model.encode_text(text)
-            numbers = np.array(ids.split(), dtype=np.int32)
-            decoded = model.decode(numbers.tolist())
+            ids, numbers = model.encode_text(text)
+            decoded = model.decode(numbers)
             row = (doc_id, len(numbers), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-            yield (*row, numbers) if with_ids else row
-        model.forget()
+            yield (*row, np.array(numbers, np.int32)) if with_ids else row
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
     return map_rows(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, schema)

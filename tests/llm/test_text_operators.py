@@ -38,8 +38,9 @@ def library():
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60) | st.text("abcdeinrst'<|>o \u03a3\u0130é1²", max_size=80))
 def test_bpe_equals_the_library(library, text):
-    ids = model_of(VOCABULARY).encode_text(text)
-    decoded = model_of(VOCABULARY).decode([int(i) for i in ids.split()])
+    ids, numbers = model_of(VOCABULARY).encode_text(text)
+    assert numbers == [int(i) for i in ids.split()]
+    decoded = model_of(VOCABULARY).decode(numbers)
     want = library.encode(text, add_special_tokens=False).ids
     assert ids == " ".join(map(str, want))
     assert decoded == library.decode(want, skip_special_tokens=False) == model_of(VOCABULARY).decode(want)
@@ -48,7 +49,7 @@ def test_bpe_equals_the_library(library, text):
 @pytest.mark.parametrize("text", ["<|endoftext|>a<|startoftext|> B<|endoftext|><|end", "a\x1cb \x1f", "\0<|endoftext|>", "lllll ssssssss....'s", "", "   "])
 def test_bpe_special_cases(library, text):
     want = library.encode(text, add_special_tokens=False).ids
-    assert model_of(VOCABULARY).encode_text(text) == " ".join(map(str, want))
+    assert model_of(VOCABULARY).encode_text(text)[0] == " ".join(map(str, want))
 
 
 def test_bpe_documents(spark, library):
