@@ -175,7 +175,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
                     at = np.isin(names[starts], np.array(wanted, np.int64))
                     for start, length in zip(starts[at].tolist(), lengths[at].tolist(), strict=True):
                         found += [(start + k, 1, True) for k in range(length)] if single else [(start, length, False)]
-            if len(seen) > 100_000:
+            if len(seen) > 250_000:
                 seen.clear()
             for start, length, single in found:
                 segment = b" ".join(words[start : start + length + window - 1])
