@@ -56,3 +56,26 @@ def test_fuzzy(spark, monkeypatch, small_blocks):
     made.value = 0
     top.collect()
     assert made.value <= 3 * len(left)
+
+
+def test_semantic(spark, monkeypatch, small_blocks):
+    made, rng = _counted(spark, monkeypatch, "unit_cosine"), random.Random(4)
+    vectors = [None, [0.0, 0.0, 0.0], [1.0, 2.0], [float("nan"), 1.0, 0.0], *([float(rng.randrange(-2, 3)) for _ in range(3)] for _ in range(25))]
+    left, right = ([(i, rng.choice(vectors)) for i in range(n)] for n in (30, 45))
+    frames = [spark.createDataFrame(rows, "k long, v array<double>") for rows in (left, right)]
+    top = smart_join.candidates(*frames, "4: v semantic_distance 1", left_key="k", right_key="k")[2]
+
+    def cosine(x, y):
+        x, y = (np.array(v if v and any(v) else [0.0]) for v in (x, y))
+        if len(x) != len(y):
+            return 0.0
+        with np.errstate(all="ignore"):
+            found = x @ y / np.sqrt((x @ x) * (y @ y)) if x.any() and y.any() else 0.0
+        return float("inf") if np.isnan(found) else max(0.0, float(found))
+
+    got = {a: [s if s == s else float("inf") for _, s in rows] for a, rows in _found(top).items()}
+    want = _best([(a, b, cosine(x, y)) for a, x in left for b, y in right], 4)
+    assert {a: [round(s, 9) for _, s in rows] for a, rows in want.items()} == got
+    made.value = 0
+    top.collect()
+    assert made.value <= 4 * len(left)
