@@ -79,3 +79,13 @@ def test_semantic(spark, monkeypatch, small_blocks):
     made.value = 0
     top.collect()
     assert made.value <= 4 * len(left)
+
+
+def test_join_test_lists_what_scores_0_too(spark, monkeypatch, small_blocks):
+    made, rng = _counted(spark, monkeypatch, "fuzzy_ratio"), random.Random(6)
+    left, right = ([(i, rng.choice(["a", "b", "c", None, f"alone {i}"]), rng.choice(["", "x", "xy", "zz"])) for i in range(n)] for n in (30, 50))
+    frames = [spark.createDataFrame(rows, "k long, g string, v string") for rows in (left, right)]
+    rows = smart_join.llm_join_test(*frames, "9: g exact_match, v fuzzy_match 1", left_key="k", right_key="k").collect()
+    want = _best([(a, b, indel_ratio(x, y) * (g == h)) for a, g, x in left for b, h, y in right], 9)
+    got = {r.row_index: [(json.loads(c["right_row"])["k"], round(c["score"], 9)) for c in json.loads(r.candidates_json)] for r in rows}
+    assert got == want and made.value <= 2 * 2 * 9 * len(left)
