@@ -116,3 +116,9 @@ def test_clash_join_takes_every_row(spark, many_suppliers):
     folder, n = many_suppliers
     rows = entry.queries()["clash_join"](spark, folder)
     assert rows.count() == n and rows.where("left_nation = right_nation AND right_idx IS NOT NULL AND join_confidence = 1").count() == n
+
+
+def test_engine_join_takes_every_row(spark, many_suppliers):
+    folder, n = many_suppliers
+    rows = entry.queries()["engine_join"](spark, folder)
+    assert rows.count() == n and rows.where("left_s_nationkey IS NOT NULL AND right_n_name = concat('Nation ', left_s_nationkey) AND join_confidence = 1").count() == n
