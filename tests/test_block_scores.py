@@ -122,3 +122,9 @@ def test_engine_join_takes_every_row(spark, many_suppliers):
     folder, n = many_suppliers
     rows = entry.queries()["engine_join"](spark, folder)
     assert rows.count() == n and rows.where("left_s_nationkey IS NOT NULL AND right_n_name = concat('Nation ', left_s_nationkey) AND join_confidence = 1").count() == n
+
+
+def test_join_decision_takes_every_row(spark, many_suppliers):
+    folder, n = many_suppliers
+    rows = entry.queries()["join_decision"](spark, folder)
+    assert rows.count() == n and rows.where("right_key % 25 = left_nation AND join_confidence > 0.5").count() == n
