@@ -128,3 +128,9 @@ def test_join_decision_takes_every_row(spark, many_suppliers):
     folder, n = many_suppliers
     rows = entry.queries()["join_decision"](spark, folder)
     assert rows.count() == n and rows.where("right_key % 25 = left_nation AND join_confidence > 0.5").count() == n
+
+
+def test_join_gate_null_takes_every_row(spark, many_suppliers):
+    folder, n = many_suppliers
+    rows = entry.queries()["join_gate_null"](spark, folder)
+    assert rows.count() == n and rows.where("right_key IS NULL AND join_confidence = 0").count() == n
