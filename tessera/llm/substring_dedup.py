@@ -20,6 +20,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,12 +40,16 @@ BLOCK_KEYS = 1 << 18
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def minimizers(words: list[bytes], window: int) -> np.ndarray:
-    """For every window of the text its minimizer: the least hash of the GRAM-word runs inside it."""
+def minimizers(texts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every window of every text (a list of words) its minimizer, the least hash of the GRAM-word runs inside it; the
+    number of its text and its first word. All texts are one array, as most are short; windows across two are left out."""
     gram = min(GRAM, window)
-    if len(words) < window:
-        return np.empty(0, np.int64)
-    h = np.array(list(map(xxh3_64_intdigest, words)), dtype=np.uint64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    windows = np.maximum(sizes - window + 1, 0)
+    total = int(windows.sum())
+    if not total:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    h = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(texts)), np.uint64, int(sizes.sum()))
     n = len(h) - gram + 1
     g = np.full(n, gram, np.uint64)
     for k in range(gram):
@@ -54,20 +59,42 @@ def minimizers(words: list[bytes], window: int) -> np.ndarray:
         step = min(covered, window - gram + 1 - covered)
         g = np.minimum(g[:-step], g[step:])
         covered += step
-    return g.view(np.int64)
+    text = np.repeat(np.arange(len(texts)), windows)
+    first = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows)
+    return g[np.repeat(np.cumsum(sizes) - sizes, windows) + first].view(np.int64), text, first
 
 
-def runs(names: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """First places and lengths of the runs of equal names, cut into parts of at most longest."""
+def runs(names: np.ndarray, text: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the runs of equal names in one text, cut into parts of at most longest."""
     if not len(names):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+    first = np.flatnonzero(np.concatenate(([True], (names[1:] != names[:-1]) | (text[1:] != text[:-1]))))
     length = np.diff(np.append(first, len(names)))
     parts = -(-length // longest)
     part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     return np.repeat(first, parts) + longest * part, np.minimum(longest, np.repeat(length, parts) - longest * part)
 
 
+def _values(column: pa.Array) -> Iterator:
+    """The values of a column, a few at a time as Python objects."""
+    for at in range(0, len(column), 64):
+        yield from column.slice(at, 64).to_pylist()
+
+
+def _gathered(rows: Iterator[tuple], text: int) -> Iterator[list[tuple]]:
+    """Rows in groups of at most 64 rows and about 1 MB of the text in that place."""
+    group: list[tuple] = []
+    size = 0
+    for row in rows:
+        group.append(row)
+        size += len(row[text])
+        if len(group) == 64 or size > 1 << 20:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs (doc_id, text).
 
@@ -121,26 +148,25 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
         held: list[tuple] = []
         filled = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    names = minimizers(text.encode().split(), window)
-                    if len(names):
-                        key, count = np.unique(names[runs(names, longest)[0]], return_counts=True)
-                        held.append((key, np.full(len(key), doc_id, np.int64), count))
-                        filled += len(key)
-                    if filled >= BLOCK_KEYS:
-                        yield from headed(*(np.concatenate(c) for c in zip(*held, strict=True)))
-                        held, filled = [], 0
-        if held:
+            for rows in _gathered(zip(*(_values(batch.column(c)) for c in (0, 1)), strict=True), 1):
+                names, text, _ = minimizers([t.encode().split() for _, t in rows], window)
+                at = runs(names, text, longest)[0]
+                held.append((names[at], np.array([d for d, _ in rows], np.int64)[text[at]]))
+                filled += len(at)
+                if filled >= BLOCK_KEYS:
+                    yield from headed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held, filled = [], 0
+        if filled:
             yield from headed(*(np.concatenate(c) for c in zip(*held, strict=True)))
         give_back()
 
-    def headed(key: np.ndarray, doc: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def headed(key: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Rows (key, document, head, n, most): the first row of a key is its head in this block, of the smallest doc_id, with
         the block's occurrences and largest doc_id; other documents have the head's doc_id."""
         order = np.lexsort((doc, key))
-        key, doc, n = key[order], doc[order], n[order]
+        key, doc = key[order], doc[order]
+        each = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
+        key, doc, n = key[each], doc[each], np.diff(np.append(each, len(key)))
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
         head = np.repeat(doc[starts], sizes)
@@ -165,27 +191,32 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
         """A row per segment; of equal ones in a task the first carries the words, and few go on to a shard:
         enough to know the smallest doc_id and whether there is another."""
         seen: dict[bytes, tuple[int, int]] = {}  # smallest and largest doc_id sent so far
-        for doc_id, text_id, text, cool, hot in rows:
-            words = text.encode().split()
-            names = minimizers(words, window)
-            starts, lengths = runs(names, longest)
-            found: list[tuple[int, int, bool]] = []
-            for single, wanted in ((False, cool), (True, hot)):
-                if wanted:
-                    at = np.isin(names[starts], np.array(wanted, np.int64))
-                    for start, length in zip(starts[at].tolist(), lengths[at].tolist(), strict=True):
-                        found += [(start + k, 1, True) for k in range(length)] if single else [(start, length, False)]
-            if len(seen) > 250_000:
-                seen.clear()
-            for start, length, single in found:
-                segment = b" ".join(words[start : start + length + window - 1])
-                digest = xxh3_128_digest(segment)
-                least, most = seen.get(digest, (None, None))
-                sent = least is None or doc_id < least or least == most < doc_id
-                if sent:
-                    seen[digest] = (doc_id, doc_id) if least is None else (min(least, doc_id), max(most, doc_id))
-                route = int.from_bytes(digest[:8], "little", signed=True) if single else int(names[start])
-                yield route if sent else None, digest, segment if least is None else None, doc_id, text_id, start
+        for group in _gathered(rows, 2):
+            texts = [text.encode().split() for _, _, text, _, _ in group]
+            names, text, first = minimizers(texts, window)
+            at, lengths = runs(names, text, longest)
+            bounds = np.searchsorted(text[at], np.arange(len(group) + 1)).tolist()
+            parts = list(zip(names[at].tolist(), first[at].tolist(), lengths.tolist(), strict=True))
+            for (doc_id, text_id, _, cool, hot), words, low, high in zip(group, texts, bounds, bounds[1:], strict=False):
+                found: list[tuple[int, int, int | None]] = []
+                if cool:
+                    wanted = set(cool)
+                    found += [p for p in parts[low:high] if p[0] in wanted]
+                if hot:
+                    wanted = set(hot)
+                    found += [(None, start + k, 1) for name, start, length in parts[low:high] if name in wanted for k in range(length)]
+                if len(seen) > 250_000:
+                    seen.clear()
+                for route, start, length in found:
+                    segment = b" ".join(words[start : start + length + window - 1])
+                    digest = xxh3_128_digest(segment)
+                    least, most = seen.get(digest, (None, None))
+                    sent = least is None or doc_id < least or least == most < doc_id
+                    if sent:
+                        seen[digest] = (doc_id, doc_id) if least is None else (min(least, doc_id), max(most, doc_id))
+                        if route is None:
+                            route = int.from_bytes(digest[:8], "little", signed=True)
+                    yield route if sent else None, digest, segment if least is None else None, doc_id, text_id, start
 
     segments = map_rows(named.join(per_doc, "doc_id").select("doc_id", "text_id", "text", "cool", "hot"), cut, "route long, digest binary, segment binary, doc_id long, text_id long, start int", chunk=64)
     found = written(segments, "segments")

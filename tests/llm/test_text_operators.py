@@ -167,6 +167,19 @@ def test_remove_repeats(spark, monkeypatch, hot, block):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_minimizers_of_several_texts_are_those_of_each():
+    rng = random.Random(8)
+    texts = [[b"%d" % rng.randrange(9) for _ in range(n)] for n in (0, 13, 3, 40, 12, 14, 14, 0)]
+    texts[6] = texts[5]
+    names, text, first = substring_dedup.minimizers(texts, 13)
+    alone = [substring_dedup.minimizers([t], 13)[0].tolist() for t in texts]
+    assert [names[text == k].tolist() for k in range(len(texts))] == alone and [len(a) for a in alone] == [0, 1, 0, 28, 0, 2, 2, 0]
+    assert [first[text == k].tolist() for k in range(len(texts))] == [list(range(len(a))) for a in alone]
+    at, lengths = substring_dedup.runs(names, text, 9)
+    assert all(lengths <= 9) and all(len(set(zip(names[a : a + n].tolist(), text[a : a + n].tolist()))) == 1 for a, n in zip(at.tolist(), lengths.tolist()))
+    assert sum(lengths) == len(names)
+
+
 def test_cleaned_texts(spark):
     docs = documents(spark)
     out = cleaned(docs)
