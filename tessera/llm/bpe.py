@@ -7,7 +7,7 @@ lists the tokens that end at each position (the suffixes of the prefix that are
 and back-pointers from the end give the ids. No merge queue is run.
 
 Words are cached per Python worker, as natural text repeats them: at most CACHE_WORDS and none of more than CACHE_CHARS
-characters, some 150 MB; a full cache is emptied, which changes speed only. Memory is bounded by that cache, the
+characters, some 150 MB; a full cache is emptied, which changes speed only, and tasks of other operators drop it. Memory is bounded by that cache, the
 vocabulary and one text, whatever its words' lengths.
 """
 
@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_rows, text_or_empty
+from tessera.llm.common import LEFT_BEHIND, map_rows, text_or_empty
 
 CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS = 200_000, 400_000, 64
 _END = "\n"  # the end-of-word mark inside the automaton; byte-level symbols never hold it
@@ -227,6 +227,15 @@ def model_of(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def _forget() -> bool:
+    there = model_of.cache_info().currsize > 0
+    model_of.cache_clear()
+    return there
+
+
+LEFT_BEHIND["bpe"] = _forget
+
+
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """Encodes every whole text and decodes it again.
 
@@ -244,4 +253,4 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
             yield (*row, np.array(numbers, np.int32)) if with_ids else row
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
-    return map_rows(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, schema)
+    return map_rows(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, schema, leaves="bpe")

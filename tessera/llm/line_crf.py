@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_rows, text_or_empty
+from tessera.llm.common import give_back, map_rows, only, text_or_empty
 
 MAX_TRAINING, MAX_TRAINING_BYTES = 4000, 32 << 20
 MOST_MOVE = 2.0  # bound of the transition weights
@@ -306,10 +307,16 @@ def keep_accepted(docs: DataFrame, model: LineCrf, accept: float = 0.7) -> DataF
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("")
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(where)), 0).to_numpy())))
+            at = 0
+            while at < batch.num_rows:  # at most 128 rows, of about 2 MB together or one row
+                n = max(1, min(128, int(np.searchsorted(size, size[at] + 2_000_000, side="right")) - 1 - at))
+                part = batch.slice(at, n)
                 score = model.score([t or "" for t in part.column(where).to_pylist()])
                 yield part.filter(pa.array(score >= accept))
+                at += n
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from tessera.llm.common import dropped, few, give_back, map_rows, text_or_empty, written
+from tessera.llm.common import dropped, few, give_back, map_rows, only, text_or_empty, written
 from tessera.llm.fm_index import FMIndex
 from tessera.llm.parity_join import mix
 
@@ -145,6 +145,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     longest = window - min(GRAM, window) + 1
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("")
         held: list[tuple] = []
         filled = 0
         for batch in batches:

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from xxhash import xxh3_64_intdigest
 
-from tessera.llm import parity_join, substring_dedup
+from tessera.llm import common, parity_join, substring_dedup
 from tessera.llm.bpe import encode_documents, model_of
 from tessera.llm.components import components
 from tessera.llm.fm_index import FMIndex
@@ -52,6 +52,15 @@ def test_bpe_special_cases(library, text):
     assert model_of(VOCABULARY).encode_text(text)[0] == " ".join(map(str, want))
 
 
+def test_models_go_when_a_worker_turns_to_other_work():
+    """Workers serve every stage: what the encoder keeps for its next task isn't there while others run."""
+    kept = model_of(VOCABULARY)
+    common.only("bpe")
+    assert model_of(VOCABULARY) is kept
+    common.only("")
+    assert model_of.cache_info().currsize == 0
+
+
 def test_bpe_documents(spark, library):
     docs = documents(spark)
     got = sorted(map(tuple, encode_documents(docs, VOCABULARY).collect()), key=str)
