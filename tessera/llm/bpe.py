@@ -6,9 +6,9 @@ last token of the remaining prefix without any merge firing across their border.
 lists the tokens that end at each position (the suffixes of the prefix that are tokens), the pair test picks the one,
 and back-pointers from the end give the ids. No merge queue is run.
 
-Words are cached per Python worker, as natural text repeats them: at most CACHE_WORDS and none of more than CACHE_CHARS
-characters, some 150 MB; a full cache is emptied, which changes speed only, and tasks of other operators drop it. Memory is bounded by that cache, the
-vocabulary and one text, whatever its words' lengths.
+Words are cached per Python worker, as natural text repeats them: at most CACHE_WORDS, those used of late, and none of
+more than CACHE_CHARS characters. What is forgotten changes speed only, and tasks of other operators drop the caches.
+Memory is bounded by them (see README), the vocabulary and one text, whatever its words' lengths.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from string import punctuation
 
 import ahocorasick
 import numpy as np
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import LEFT_BEHIND, map_rows, text_or_empty
 
-CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS = 200_000, 400_000, 64
+CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS = 300_000, 200_000, 64
+_ID_BITS = 32  # of a token's id
+_LATIN_END = "\u0250"  # letters before it are letters in every version of Unicode
 _END = "\n"  # the end-of-word mark inside the automaton; byte-level symbols never hold it
 #: Fixed value: the tokenizer's pattern for pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -64,7 +67,7 @@ class WordBpe:
         self.symbols = byte_symbols()
         self._right: dict[int, list[tuple[int, float]]] = {}
         self._left: dict[int, list[tuple[int, float]]] = {}
-        self._beside: dict[tuple[int, int], bool] = {}
+        self._beside: dict[int, bool] = {}  # a pair as one number, which takes less than a tuple
         self.length: dict[int, int] = {}
         self.automaton = self._automaton()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -74,7 +77,9 @@ class WordBpe:
         self._words = regex.compile(PATTERN.replace("\\s", _SPACE)).findall
         self._chunks = regex.compile(rf"[^{_SPACE}]+").findall
         self._separators = re.compile("[\x1c-\x1f]").search  # str.split() takes them for white space, the tokenizer doesn't
-        self._cache, self._word_cache = _Chunks(self), {}
+        self._cache = _Chunks(self)
+        self._printed = str.maketrans({b: s for b, s in enumerate(self.symbols) if chr(b) != s})
+        self._decimals = [str(i) for i in range(max(self.names, default=-1) + 1)]
 
     def _automaton(self) -> ahocorasick.Automaton:
         """Every token that its own merges can make; others never appear in an encoding."""
@@ -89,8 +94,8 @@ class WordBpe:
             text = self.names[token]
             last = bool(self.suffix) and text.endswith(self.suffix)
             body = text[: -len(self.suffix)] if last else text
-            self.length[token] = len(body)
-            found.add_word(body + _END * last, (token, len(body)))
+            self.length[token] = len(body) + last  # the mark counts as a symbol
+            found.add_word(body + _END * last, (token, len(body) + last))
         found.make_automaton()
         return found
 
@@ -125,37 +130,40 @@ class WordBpe:
 
     def beside(self, x: int, y: int) -> bool:
         """Whether encoding the text of x and y together gives exactly x, y."""
-        known = self._beside.get((x, y))
+        pair = x << _ID_BITS | y
+        known = self._beside.get(pair)
         if known is None:
-            if len(self._beside) > CACHE_PAIRS:
+            if len(self._beside) >= CACHE_PAIRS:
                 self._beside.clear()
-            known = self._beside[x, y] = self._unbroken(x, y, float("inf"))
+            known = self._beside[pair] = self._unbroken(x, y, float("inf"))
         return known
 
-    def encode_word(self, word: str) -> list[int]:
+    def encode_word(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token of one or more characters."""
-        symbols = self.symbols
-        text = "".join([symbols[b] for b in word.encode()])
+        text = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self._printed)
+        done = unmarked = -1
+        if self.suffix:
+            done = unmarked = len(text) - 1  # where the last symbol ends without the mark: no token ends there
+            text += _END
         n = len(text)
         last: list[int] = [-1] * (n + 1)
-        beside, known = self.beside, self._beside
-        for end, (token, size) in self.automaton.iter(text + _END):
-            i = end + 1 if end < n else n
-            if last[i] >= 0 or (end == n - 1 and self.suffix):
+        known, length = self._beside.get, self.length
+        for end, (token, size) in self.automaton.iter(text):
+            if end == done or end == unmarked:
                 continue
-            before = i - size
-            if before == 0:
-                last[i] = token
-            else:
-                pair = (last[before], token)
-                ok = known.get(pair)
-                if ok if ok is not None else beside(*pair):
-                    last[i] = token
+            at = end + 1
+            if size < at:
+                x = last[at - size]
+                ok = known(x << _ID_BITS | token)
+                if not (self.beside(x, token) if ok is None else ok):
+                    continue
+            last[at] = token
+            done = end
         ids = []
         while n:
             ids.append(last[n])
-            n -= self.length[last[n]]
-        return ids[::-1]
+            n -= length[last[n]]
+        return tuple(ids[::-1])
 
     def chunks(self, text: str) -> list[str]:
         """The runs of a text between white space, normalised; a special token is one, marked by a leading blank."""
@@ -173,22 +181,18 @@ class WordBpe:
         text = text.lower()
         return self._chunks(text) if self._separators(text) else text.split()
 
-    def encode_chunk(self, chunk: str) -> tuple[str, tuple[int, ...]]:
+    def encode_chunk(self, chunk: str) -> tuple[int, ...]:
         if chunk[0] == " ":
-            special = self.special[chunk[1:]]
-            return str(special), (special,)
-        known, ids = self._word_cache, []
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        newer = not chunk.isascii() and any(unicodedata.category(c) == "Cn" for c in chunk)
-        for word in self._newer_words(chunk) if newer else self._words(chunk):
-            found = known.get(word)
-            if found is None:
-                found = self.encode_word(word)
-                if len(word) <= CACHE_CHARS:
-                    known[word] = found
-            ids += found
-        return " ".join(map(str, ids)), tuple(ids)
+            return (self.special[chunk[1:]],)
+        if chunk.isalpha() and (chunk.isascii() or max(chunk) < _LATIN_END):
+            return self.encode_word(chunk)
+        letters = chunk.rstrip(punctuation)
+        if letters.isalpha() and letters.isascii():
+            return self._cache[letters] + self._cache[chunk[len(letters) :]]  # signs alone are one pre-token
+        if not chunk.isascii() and any(unicodedata.category(c) == "Cn" for c in chunk):
+            return tuple(chain.from_iterable(map(self.encode_word, self._newer_words(chunk))))
+        words = self._words(chunk)
+        return self.encode_word(chunk) if len(words) == 1 else tuple(chain.from_iterable([self._cache[w] for w in words]))
 
     def _newer_words(self, chunk: str) -> list[str]:
         """Pre-tokens of a chunk with characters that this Python's Unicode tables lack: by the tables of the tokenizers library."""
@@ -199,10 +203,8 @@ class WordBpe:
 
     def encode_text(self, text: str) -> tuple[str, list[int]]:
         """The ids in decimal, joined by one space, and as numbers."""
-        if len(self._cache) > CACHE_WORDS:
-            self._cache.clear()
-        found = list(map(self._cache.__getitem__, self.chunks(text)))
-        return " ".join([f[0] for f in found if f[0]]), list(chain.from_iterable([f[1] for f in found]))
+        numbers = list(chain.from_iterable(map(self._cache.__getitem__, self.chunks(text))))
+        return " ".join(map(self._decimals.__getitem__, numbers)), numbers
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False) without a decoder: token texts joined by one space; unknown ids are left out."""
@@ -210,14 +212,23 @@ class WordBpe:
 
 
 class _Chunks(dict):
-    """Chunk to its ids, in decimal and as numbers; a missing one is encoded and, unless it is long, stored."""
+    """Chunk to its ids; a missing one is encoded and, unless it is long, stored. A pre-token is a chunk of itself.
+
+    When half of CACHE_WORDS is full it becomes the older half, from which what is used comes back, and the half that was
+    older goes: so chunks that come once don't drive out those that come again and again.
+    """
 
     def __init__(self, model: WordBpe):
-        self.model = model
+        self.model, self.older = model, {}
 
-    def __missing__(self, chunk: str) -> tuple[str, tuple[int, ...]]:
-        found = self.model.encode_chunk(chunk)
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        found = self.older.get(chunk)
+        if found is None:
+            found = self.model.encode_chunk(chunk)
         if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS // 2:
+                self.older = dict(self)
+                self.clear()
             self[chunk] = found
         return found
 

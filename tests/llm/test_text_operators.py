@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from xxhash import xxh3_64_intdigest
 
-from tessera.llm import common, parity_join, substring_dedup
+from tessera.llm import bpe, common, parity_join, substring_dedup
 from tessera.llm.bpe import encode_documents, model_of
 from tessera.llm.components import components
 from tessera.llm.fm_index import FMIndex
@@ -52,6 +52,21 @@ def test_bpe_special_cases(library, text):
     assert model_of(VOCABULARY).encode_text(text)[0] == " ".join(map(str, want))
 
 
+def test_words_that_come_again_stay_cached(library, monkeypatch):
+    """Words that come once don't drive out the others, and what is forgotten changes no ids."""
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 200)
+    model, asked = bpe.WordBpe(VOCABULARY), []
+    plain = model.encode_word
+    monkeypatch.setattr(model, "encode_word", lambda word: asked.append(word) or plain(word))
+    rng = random.Random(8)
+    for _ in range(60):
+        once = ["".join(rng.choices("abcdeßé", k=12)) + rng.choice(["", "!", "...", "'s", "7%", "ñ?"]) for _ in range(10)]
+        text = " ".join([*once, "often", "often!", "(often)", "öften."])
+        assert model.encode_text(text)[1] == library.encode(text, add_special_tokens=False).ids
+        assert len(model._cache) + len(model._cache.older) <= 200
+    assert asked.count("often") == asked.count("öften") == 1
+
+
 def test_models_go_when_a_worker_turns_to_other_work():
     """Workers serve every stage: what the encoder keeps for its next task isn't there while others run."""
     kept = model_of(VOCABULARY)
