@@ -45,9 +45,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of whole texts; written here, where the batches that go to Python are bounded in bytes."""
     from public_tokenizers import path
 
-    return encode_documents(docs, path("word_bpe_49k.json"), with_ids=True)
+    return written(encode_documents(docs, path("word_bpe_49k.json"), with_ids=True), "encoded")
 
 
 STAGES = [

@@ -6,11 +6,13 @@ import zlib
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from xxhash import xxh3_64_intdigest
 
+import corpus_pipeline
 from tessera.llm import bpe, common, parity_join, substring_dedup
 from tessera.llm.bpe import encode_documents, model_of
 from tessera.llm.components import components
@@ -76,6 +78,18 @@ def test_models_go_when_a_worker_turns_to_other_work():
     assert model_of.cache_info().currsize == 0
 
 
+def test_the_pipeline_encodes_bounded_batches(spark, monkeypatch):
+    """27 MB of texts in one partition don't reach the encoder's Python worker as one batch."""
+
+    def sizes(docs, path, with_ids):
+        return docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"size": [b.nbytes]}) for b in batches), "size long")
+
+    monkeypatch.setattr(corpus_pipeline, "encode_documents", sizes)
+    docs = spark.range(600).selectExpr("id AS doc_id", "repeat('many words of one text ', 2000) AS text").coalesce(1)
+    found = [r.size for r in corpus_pipeline.encode(spark, docs, "").collect()]
+    assert sum(found) > 25_000_000 and max(found) < 12_000_000
+
+
 def test_bpe_documents(spark, library):
     docs = documents(spark)
     got = sorted(map(tuple, encode_documents(docs, VOCABULARY).collect()), key=str)
